@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: A side is broadcast only when it was counted and holds at most this many bytes.
 BROADCAST_BYTES = 32 << 20
@@ -57,3 +58,8 @@ def maybe_broadcast(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
+
+
+def plus(schema: StructType, ddl: str) -> StructType:
+    """A schema with further fields, given as DDL."""
+    return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .decontamination import OP9_SQL, op9_decontamination
 from .license_scan import op3_license_scan
 
 QUERIES = {
     "op3_license_scan": op3_license_scan,
+    "op9_decontamination": op9_decontamination,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_decontamination": OP9_SQL,
+}
