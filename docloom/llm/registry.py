@@ -4,18 +4,21 @@ from __future__ import annotations
 
 from .bpe import op5_bpe_tokens
 from .decontamination import OP9_SQL, op9_decontamination
+from .language_id import op7_language_id
 from .license_scan import op3_license_scan
 from .token_store import op8_token_store
 
 QUERIES = {
     "op3_license_scan": op3_license_scan,
     "op5_bpe_tokens": op5_bpe_tokens,
+    "op7_language_id": op7_language_id,
     "op8_token_store": op8_token_store,
     "op9_decontamination": op9_decontamination,
 }
 
 ORACLES: dict[str, str] = {
     "op5_bpe_tokens": op5_bpe_tokens,
+    "op7_language_id": op7_language_id,
     "op8_token_store": op8_token_store,
     "op9_decontamination": OP9_SQL,
 }
