@@ -14,7 +14,13 @@ from pyspark.sql.types import StructType
 BROADCAST_BYTES = 32 << 20
 
 
+#: Rows of an Arrow batch: texts are long, and a worker holds a batch or two.
+BATCH_ROWS = 1_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

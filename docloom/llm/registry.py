@@ -7,6 +7,7 @@ from .decontamination import OP9_SQL, op9_decontamination
 from .language_id import op7_language_id
 from .license_scan import op3_license_scan
 from .token_store import op8_token_store
+from .toxicity import op10_toxicity
 
 QUERIES = {
     "op3_license_scan": op3_license_scan,
@@ -14,6 +15,7 @@ QUERIES = {
     "op7_language_id": op7_language_id,
     "op8_token_store": op8_token_store,
     "op9_decontamination": op9_decontamination,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {
