@@ -6,10 +6,12 @@ from .bpe import op5_bpe_tokens
 from .decontamination import OP9_SQL, op9_decontamination
 from .language_id import op7_language_id
 from .license_scan import op3_license_scan
+from .ngram_join import OP1_SQL, op1_ngram_jaccard_join
 from .token_store import op8_token_store
 from .toxicity import op10_toxicity
 
 QUERIES = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op3_license_scan": op3_license_scan,
     "op5_bpe_tokens": op5_bpe_tokens,
     "op7_language_id": op7_language_id,
