@@ -7,11 +7,13 @@ from .decontamination import OP9_SQL, op9_decontamination
 from .language_id import op7_language_id
 from .license_scan import op3_license_scan
 from .ngram_join import OP1_SQL, op1_ngram_jaccard_join
+from .substring_dedup import OP2_SQL, op2_substring_dedup
 from .token_store import op8_token_store
 from .toxicity import op10_toxicity
 
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_license_scan": op3_license_scan,
     "op5_bpe_tokens": op5_bpe_tokens,
     "op7_language_id": op7_language_id,
@@ -24,5 +26,6 @@ ORACLES: dict[str, str] = {
     "op5_bpe_tokens": op5_bpe_tokens,
     "op7_language_id": op7_language_id,
     "op8_token_store": op8_token_store,
+    "op2_substring_dedup": OP2_SQL,
     "op9_decontamination": OP9_SQL,
 }
