@@ -7,6 +7,7 @@ from .decontamination import OP9_SQL, op9_decontamination
 from .language_id import op7_language_id
 from .license_scan import op3_license_scan
 from .ngram_join import OP1_SQL, op1_ngram_jaccard_join
+from .pii import op4_pii
 from .substring_dedup import OP2_SQL, op2_substring_dedup
 from .token_store import op8_token_store
 from .toxicity import op10_toxicity
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_license_scan": op3_license_scan,
+    "op4_pii": op4_pii,
     "op5_bpe_tokens": op5_bpe_tokens,
     "op7_language_id": op7_language_id,
     "op8_token_store": op8_token_store,
@@ -23,6 +25,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op4_pii": op4_pii,
     "op5_bpe_tokens": op5_bpe_tokens,
     "op7_language_id": op7_language_id,
     "op8_token_store": op8_token_store,
