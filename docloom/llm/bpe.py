@@ -20,21 +20,22 @@ are each kept; an empty table gives no rows; of further columns, only those name
 from __future__ import annotations
 
 import json
+import os
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import plus, table, width
+from .common import lean, plus, table, width
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 10 << 20
 
 
 def load_tokenizer(tokenizer_json: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads also each keep memory
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_str(tokenizer_json)
@@ -61,7 +62,7 @@ class _Packer:
     @staticmethod
     def pack(batch: pa.RecordBatch) -> bytes:
         sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as w:
             w.write_batch(batch)
         return sink.getvalue().to_pybytes()
 
@@ -71,10 +72,12 @@ class _Packer:
 
 
 def _blocks(batches):
-    """(block id, rows) of a task: block ids are unique to the task's partition and its place in it."""
-    part, seq, held, size = TaskContext.get().partitionId(), 0, [], 0
+    """(block id, rows) of a task: block ids are unique to the input's partition (the last column) and the place in it."""
+    part, seq, held, size = 0, 0, [], 0
     for b in batches:
         at = 0
+        if b.num_rows:
+            part = b.column(b.num_columns - 1)[0].as_py()
         lengths = pc.fill_null(pc.binary_length(b.column(0)), 0).to_numpy(zero_copy_only=False)
         ends = np.cumsum(lengths, dtype=np.int64)
         while at < b.num_rows:
@@ -96,17 +99,20 @@ def encode(docs: DataFrame, tokenizer_path: str, text: str = "text", keep: tuple
     if not spans_no_blank(tokenizer_json):
         raise ValueError("the tokenizer keeps white space in its tokens: words cannot be encoded one by one")
     held = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
+    narrow = "<u2" if load_tokenizer(tokenizer_json).get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
     n = width(docs)
-    source = docs.select(F.col(text).alias("_text"), *keep)
+    # The input's own partition number: below a union the task's number is another one.
+    source = docs.select(F.col(text).alias("_text"), *keep, F.spark_partition_id().alias("_part"))
 
     def ask(batches):
-        press = zstandard.ZstdCompressor(3)
+        press = zstandard.ZstdCompressor(6)
         for block, rows in _blocks(batches):
             seen: set[str] = set()
             for b in rows:
-                for t in b.column(0).to_pylist():
-                    if t:
-                        seen.update(words_of(t))
+                for i in range(0, b.num_rows, 256):
+                    for t in b.column(0).slice(i, 256).to_pylist():
+                        if t:
+                            seen.update(words_of(t))
             # crc32 deals words evenly and alike in every process
             parts: list[list[bytes]] = [[] for _ in range(n)]
             from zlib import crc32
@@ -119,7 +125,7 @@ def encode(docs: DataFrame, tokenizer_path: str, text: str = "text", keep: tuple
                 yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int32()), pa.array([block] * len(out), pa.int64()), pa.array([x for _, x in out], pa.binary())], names=["part", "block", "blob"])
 
     def answer(batches):
-        tok, unpress, press = None, zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(3)
+        tok, unpress, press = None, zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(6)
         known: dict[bytes, bytes] = {}
         last = None
         for b in batches:
@@ -130,17 +136,14 @@ def encode(docs: DataFrame, tokenizer_path: str, text: str = "text", keep: tuple
                     known, last = {}, part
                 words = unpress.decompress(blob).split(b"\n")
                 new = [w for w in words if w not in known]
-                for i in range(0, len(new), 20_000):
-                    some = new[i : i + 20_000]
+                for i in range(0, len(new), 5_000):
+                    some = new[i : i + 5_000]
                     for w, e in zip(some, tok.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
                         known[w] = np.array(e.ids, "<u4").tobytes()
                 ids = [known[w] for w in words]
                 counts = np.array([len(x) // 4 for x in ids], "<u4")
-                flat = np.frombuffer(b"".join(ids), "<u4")
-                # bytes of the same weight stand together, which packs better
-                packed = counts.view("u1").reshape(-1, 4).T.tobytes() + flat.view("u1").reshape(-1, 4).T.tobytes()
                 blocks.append(block)
-                blobs.append(press.compress(len(words).to_bytes(4, "little") + packed + b"\n".join(words)))
+                blobs.append(press.compress(len(words).to_bytes(4, "little") + counts.tobytes() + np.frombuffer(b"".join(ids), "<u4").astype(narrow).tobytes() + b"\n".join(words)))
             yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array([0] * len(blocks), pa.int8()), pa.array(blobs, pa.binary())], names=["block", "kind", "blob"])
 
     def ship(batches):
@@ -159,11 +162,11 @@ def encode(docs: DataFrame, tokenizer_path: str, text: str = "text", keep: tuple
                 if kind == 0:
                     raw = unpress.decompress(blob.as_py())
                     k = int.from_bytes(raw[:4], "little")
-                    counts = np.ascontiguousarray(np.frombuffer(raw, "u1", 4 * k, 4).reshape(4, k).T).view("<u4").ravel()
+                    counts = np.frombuffer(raw, "<u4", k, 4)
                     total = int(counts.sum())
-                    flat = np.ascontiguousarray(np.frombuffer(raw, "u1", 4 * total, 4 + 4 * k).reshape(4, total).T).tobytes()
+                    flat = np.frombuffer(raw, narrow, total, 4 + 4 * k).astype("<u4").tobytes()
                     ends = (np.cumsum(counts, dtype=np.int64) * 4).tolist()
-                    words = raw[4 + 4 * k + 4 * total :].decode().split("\n")
+                    words = raw[4 + 4 * k + np.dtype(narrow).itemsize * total :].decode().split("\n")
                     at = 0
                     for w, end in zip(words, ends, strict=True):
                         known[w] = flat[at:end]
@@ -183,12 +186,12 @@ def encode(docs: DataFrame, tokenizer_path: str, text: str = "text", keep: tuple
                             ids = [b"".join([known[w] for w in ws]) for ws in split]
                         offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype("i4")
                         values = pa.array(np.frombuffer(b"".join(ids), "<i4"), pa.int32())
-                        yield pa.RecordBatch.from_arrays([*some.columns[1:], pa.ListArray.from_arrays(pa.array(offsets), values)], names=[*keep, "ids"])
+                        yield pa.RecordBatch.from_arrays([*some.columns[1:-1], pa.ListArray.from_arrays(pa.array(offsets), values)], names=[*keep, "ids"])
 
-    asked = source.select("_text").mapInArrow(ask, "part int, block long, blob binary")
-    answered = asked.repartition(n, "part").sortWithinPartitions("part").mapInArrow(answer, "block long, kind byte, blob binary")
-    shipped = source.mapInArrow(ship, "block long, kind byte, blob binary")
-    return answered.unionByName(shipped).repartition(n, "block").sortWithinPartitions("block", "kind").mapInArrow(join, plus(source.drop("_text").schema, "ids array<int>"))
+    asked = source.select("_text", "_part").mapInArrow(lean(ask), "part int, block long, blob binary")
+    answered = asked.repartition(n, "part").sortWithinPartitions("part").mapInArrow(lean(answer), "block long, kind byte, blob binary")
+    shipped = source.mapInArrow(lean(ship), "block long, kind byte, blob binary")
+    return answered.unionByName(shipped).repartition(n, "block").sortWithinPartitions("block", "kind").mapInArrow(lean(join), plus(source.drop("_text", "_part").schema, "ids array<int>"))
 
 
 def decode(tokens: DataFrame, tokenizer_path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
@@ -217,7 +220,7 @@ def decode(tokens: DataFrame, tokenizer_path: str, ids: str = "ids", into: str =
                 texts = [" ".join(map(get, x)) if decoder is None else b"".join(map(get, x)).decode("utf-8", "replace") for x in (v or [] for v in some.column(at).to_pylist())]
                 yield pa.RecordBatch.from_arrays([*some.columns, pa.array(texts, pa.string())], names=schema.names)
 
-    return tokens.mapInArrow(run, schema)
+    return tokens.mapInArrow(lean(run), schema)
 
 
 def op5_bpe_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

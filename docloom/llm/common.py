@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -69,3 +73,22 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
 def plus(schema: StructType, ddl: str) -> StructType:
     """A schema with further fields, given as DDL."""
     return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])
+
+
+def lean(run):
+    """For a function over Arrow batches: buffers come from the system's allocator, and what a task has
+    freed goes back to the system when it ends, as workers are kept for other tasks."""
+
+    @functools.wraps(run)
+    def task(batches):
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):
+                pass  # another C library: it keeps its own habits
+
+    return task

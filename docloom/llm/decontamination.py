@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import plus, table, union_all, written
+from .common import lean, plus, table, union_all, written
 
 N = 13
 BLOCK = 3
@@ -116,7 +116,7 @@ def _scan(docs: DataFrame, key: str, text: str, items: list, n: int, extra: list
                 found.append(sorted(ids))
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(counts, pa.int64()), pa.array(hits, spans_type), pa.array(found, pa.list_(pa.string()))], names=[*kept, "n_words", "hits", "items"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def _merged(spans):

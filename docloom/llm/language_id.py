@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import plus, table
+from .common import lean, plus, table
 
 CELLS = 1 << 16
 PER_LANGUAGE = 2_000
@@ -131,7 +131,7 @@ def fit(labelled: DataFrame, text: str = "text", language: str = "lang", key: st
     languages = sorted(sizes)
     at = {x: i for i, x in enumerate(languages)}
     counts = np.zeros((CELLS, len(languages)))
-    got = sample.mapInArrow(count, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
+    got = sample.mapInArrow(lean(count), "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
     for r in got.groupBy("lang").agg(F.collect_list(F.struct("cell", "n")).alias("x")).toLocalIterator():  # at most CELLS cells a language
         cell, n = zip(*r["x"], strict=True)
         counts[list(cell), at[r["lang"]]] = n
@@ -151,7 +151,7 @@ def identify(docs: DataFrame, model: Mixture, text: str = "text", keep: tuple[st
             found = [m.predict(t) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array([[{"lang": a, "share": s} for a, s in x[2]] for x in found], kind)], names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

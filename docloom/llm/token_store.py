@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, table, width, written
+from .common import lean, scratch, table, width, written
 
 MAGIC, INDEX_MAGIC, VERSION = b"DLTK", b"DLIX", 1
 HEAD = 8
@@ -255,7 +255,7 @@ class TokenStore:
 
         kind = docs.schema[key].dataType.simpleString()
         rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).repartitionByRange(n, "key").sortWithinPartitions("key", "text")
-        directory = written(rows.mapInArrow(write_shard, f"key {kind}, occurrence long, h1 long, h2 long, shard int, offset long, length long"), "token-directory")
+        directory = written(rows.mapInArrow(lean(write_shard), f"key {kind}, occurrence long, h1 long, h2 long, shard int, offset long, length long"), "token-directory")
         starts, at = {}, 0
         for r in directory.groupBy("shard").agg(F.sum("length").alias("n")).orderBy("shard").collect():  # one row a shard
             starts[r["shard"]], at = at, at + r["n"]
@@ -322,7 +322,7 @@ class TokenStore:
         from pyspark.sql.types import StructType
 
         out_type = to_arrow_type(StructType.fromDDL(column)[0].dataType)
-        return located.repartitionByRange(width(located), "shard", "offset").sortWithinPartitions("shard", "offset").mapInArrow(load, f"key {kind}, occurrence long, start long, length long, {column}")
+        return located.repartitionByRange(width(located), "shard", "offset").sortWithinPartitions("shard", "offset").mapInArrow(lean(load), f"key {kind}, occurrence long, start long, length long, {column}")
 
     def get(self, keys: list) -> dict:
         """Keyed access from the driver: ids of a few keys (their first occurrence); absent keys are left out."""

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import plus, table
+from .common import lean, plus, table
 from .language_id import fold
 
 LETTERS = 40
@@ -267,7 +267,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         n[""] = docs_seen
         yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array([x[0] for x in n.values()], pa.int64()), pa.array([x[1] for x in n.values()], pa.int64())], names=["word", "clean", "toxic"])
 
-    counts = drawn.mapInArrow(frequencies, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counts = drawn.mapInArrow(lean(frequencies), "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     total = {r["word"]: r for r in counts.where("word = ''").collect()}.get("")
     n0, n1 = (total["clean"], total["toxic"]) if total else (0, 0)
     a, b = F.col("toxic"), F.col("clean")
@@ -289,7 +289,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
                 k = f.batch(batch.column(0).slice(i, 256).to_pylist())
                 yield pa.RecordBatch.from_arrays([pa.array(k.tolist(), pa.list_(pa.float32())), batch.column(1).slice(i, 256)], names=["k", "y"])
 
-    got = drawn.mapInArrow(features, "k array<float>, y int").collect()  # at most two times PER_CLASS rows
+    got = drawn.mapInArrow(lean(features), "k array<float>, y int").collect()  # at most two times PER_CLASS rows
     model.fit(np.array([r["k"] for r in got], float).reshape(len(got), len(model.kernel.landmarks)), np.array([int(r["y"] > 0) for r in got]))
     return model
 
@@ -310,7 +310,7 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text", keep: tuple
                 near = [[m.kernel.landmarks[j] for j in np.flatnonzero(r)] for r in k]
                 yield pa.RecordBatch.from_arrays([*some.columns[1:], pa.array(m.score(k), pa.float64()), pa.array(near, pa.list_(pa.string()))], names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
