@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .ann import op6_nearest_neighbours
 from .bpe import op5_bpe_tokens
 from .decontamination import OP9_SQL, op9_decontamination
 from .language_id import op7_language_id
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_license_scan": op3_license_scan,
     "op4_pii": op4_pii,
     "op5_bpe_tokens": op5_bpe_tokens,
+    "op6_nearest_neighbours": op6_nearest_neighbours,
     "op7_language_id": op7_language_id,
     "op8_token_store": op8_token_store,
     "op9_decontamination": op9_decontamination,
@@ -27,6 +29,7 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op4_pii": op4_pii,
     "op5_bpe_tokens": op5_bpe_tokens,
+    "op6_nearest_neighbours": op6_nearest_neighbours,
     "op7_language_id": op7_language_id,
     "op8_token_store": op8_token_store,
     "op2_substring_dedup": OP2_SQL,
