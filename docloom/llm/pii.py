@@ -185,7 +185,7 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", confident: fl
 
 def mask(docs: DataFrame, found: DataFrame, text: str = "text", key: str = "doc_id", sign: str = "[{}]") -> DataFrame:
     """docs with every span of found (from find()) in the text replaced by its kind; overlaps are one span."""
-    marked = written(found.where(F.size("spans") > 0).select(F.col("mark").alias("_mark"), "spans").dropDuplicates(["_mark"]), "pii-marked")
+    marked = written(found.where(F.size("spans") > 0).select(F.col("mark").alias("_mark"), F.col("spans").alias("_spans")).dropDuplicates(["_mark"]), "pii-marked")
     small = maybe_broadcast(marked.select("_mark"), marked.count(), 16)
     rows = docs.withColumn("_mark", F.xxhash64(F.col(key), F.col(text)))
     at = docs.columns.index(text)
@@ -207,7 +207,7 @@ def mask(docs: DataFrame, found: DataFrame, text: str = "text", key: str = "doc_
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     clean = rows.join(small, "_mark", "left_anti").drop("_mark")
-    hit = rows.join(small, "_mark", "left_semi").join(marked, "_mark").select(*docs.columns, "spans")
+    hit = rows.join(small, "_mark", "left_semi").join(marked, "_mark").select(*docs.columns, "_spans")
     return clean.unionByName(hit.mapInArrow(lean(run), schema))
 
 
