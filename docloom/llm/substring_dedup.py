@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, plus, table, width, written
+from .common import BROADCAST_BYTES, lean, maybe_broadcast, plus, table, width, written
 
 W = 50
 GRAM = 8
@@ -88,10 +88,10 @@ def anchors(h: np.ndarray, w: int = W, gram: int = GRAM) -> tuple[np.ndarray, np
 
 
 def _filter(shared: DataFrame, rows: int) -> tuple[int, np.ndarray]:
-    """A bit for every hash of the column h: (shift, bits). Each task makes its own slice of it."""
+    """A bit for every hash of the column h: (mask, bits). Each task makes its own slice of it. The place is
+    in a hash's low bits: anchors are smallest hashes, so that their high bits are mostly zero."""
     bits = min(FILTER_BYTES * 8, 1 << max(16, (16 * max(rows, 1)).bit_length()))
-    k = bits.bit_length() - 1
-    bits = 1 << k
+    bits = 1 << bits.bit_length() - 1
     slices = 16
     per = bits // slices
 
@@ -102,16 +102,16 @@ def _filter(shared: DataFrame, rows: int) -> tuple[int, np.ndarray]:
         pdf["bits"] = [np.packbits(own).tobytes()]
         return pdf
 
-    at = shared.select(F.shiftrightunsigned("h", 64 - k).alias("bit")).distinct().select("bit", F.expr(f"cast(bit div {per} as int)").alias("slice"))
+    at = shared.select(F.col("h").bitwiseAND(F.lit(bits - 1)).alias("bit")).distinct().select("bit", F.expr(f"cast(bit div {per} as int)").alias("slice"))
     whole = np.zeros(bits // 8, np.uint8)
     for r in at.groupBy("slice").applyInPandas(mark, "slice int, bits binary").toLocalIterator():
         whole[r["slice"] * per // 8 : (r["slice"] + 1) * per // 8] = np.frombuffer(r["bits"], np.uint8)
-    return 64 - k, whole
+    return bits - 1, whole
 
 
 def _marked(hashes: np.ndarray, held: tuple[int, np.ndarray]) -> np.ndarray:
-    shift, bits = held
-    at = (hashes >> _U(shift)).astype(np.int64)
+    mask, bits = held
+    at = (hashes & _U(mask)).astype(np.int64)
     return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
 
 
@@ -166,7 +166,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", w: int = W
             if hs:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view("<i8")), pa.array(np.concatenate(ds)), pa.array(np.concatenate(cs).astype("i8"))], names=["h", "doc", "c"])
 
-    listed = rows.select("text", "doc").mapInArrow(list_anchors, "h long, doc long, c long")
+    listed = rows.select("text", "doc").mapInArrow(lean(list_anchors), "h long, doc long, c long")
     shared = listed.groupBy("h").agg(F.min("doc").alias("x"), F.max("doc").alias("y"), F.sum("c").alias("c")).where("x < y").select("h", (F.col("c") > GROUP).alias("big"))
     shared = written(shared, "dedup-shared")
     sizes = shared.agg(F.count("*").alias("n"), F.count_if("big").alias("big")).head()
@@ -174,7 +174,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", w: int = W
     filters = context.broadcast((_filter(shared, sizes["n"]), _filter(shared.where("big"), sizes["big"])))
 
     def cut(batches):
-        """Kind 0: a segment under an anchor (h, words); kind 1: one window of a hot anchor (its own hash)."""
+        """Kind 0: a segment under an anchor (h, words); kind 1: the windows of a hot anchor, by their hashes."""
         hashes = Words()
         some, hot = filters.value
         names = ["kind", "h", "doc", "row", "start", "words"]
@@ -193,17 +193,16 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", w: int = W
                     for x, v in zip(out, (h[i], d, r, first[i], b" ".join(words[first[i] : last[i] + w])), strict=True):
                         x.append(v)
                 if big.any():
-                    starts = np.concatenate([np.arange(first[i], last[i] + 1) for i in np.flatnonzero(big)])
-                    for x, v in zip(wide, (rolled(own, w)[starts], np.full(len(starts), d, np.int64), np.full(len(starts), r, np.int64), starts), strict=True):
-                        x.append(v)
+                    full = rolled(own, w)
+                    for i in np.flatnonzero(big):
+                        for x, v in zip(wide, (d, r, first[i], full[first[i] : last[i] + 1].tobytes()), strict=True):
+                            x.append(v)
             if out[0]:
                 k = len(out[0])
                 yield pa.RecordBatch.from_arrays([pa.array([0] * k, pa.int8()), pa.array(np.array(out[0], np.uint64).view("<i8")), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(np.array(out[3], np.int64)), pa.array(out[4], pa.binary())], names=names)
             if wide[0]:
-                h, d, r, s = (np.concatenate(x) for x in wide)
-                for a in range(0, len(h), 50_000):
-                    k = len(h[a : a + 50_000])
-                    yield pa.RecordBatch.from_arrays([pa.array([1] * k, pa.int8()), pa.array(h[a : a + k].view("<i8")), pa.array(d[a : a + k]), pa.array(r[a : a + k]), pa.array(s[a : a + k].astype("i8")), pa.nulls(k, pa.binary())], names=names)
+                k = len(wide[0])
+                yield pa.RecordBatch.from_arrays([pa.array([1] * k, pa.int8()), pa.nulls(k, pa.int64()), pa.array(wide[0], pa.int64()), pa.array(wide[1], pa.int64()), pa.array(np.array(wide[2], np.int64)), pa.array(wide[3], pa.binary())], names=names)
 
     def trees(batches):
         hashes = Words()
@@ -230,15 +229,65 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", w: int = W
         if held:
             yield judge()
 
-    parts = written(rows.mapInArrow(cut, "kind byte, h long, doc long, row long, start long, words binary"), "dedup-suffixes")
+    parts = written(rows.mapInArrow(lean(cut), "kind byte, h long, doc long, row long, start long, words binary"), "dedup-suffixes")
     segments = parts.where("kind = 0").select("h", "doc", "row", "start", "words")
-    small = segments.repartition(n, "h").sortWithinPartitions("h").mapInArrow(trees, "row long, start long, end long")
-    windows = parts.where("kind = 1").select("h", "doc", "row", "start")
-    low = windows.groupBy("h").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("h", "low")
-    large = windows.join(low, "h").where("low < doc").select("row", "start", (F.col("start") + w).alias("end"))
+    small = segments.repartition(n, "h").sortWithinPartitions("h").mapInArrow(lean(trees), "row long, start long, end long")
+    large = _hot(parts.where("kind = 1").select("doc", "row", "start", F.col("words").alias("windows")), w)
     return small.unionByName(large)
 
 
+def _hot(runs: DataFrame, w: int) -> DataFrame:
+    """row, start, end for runs of windows of hot anchors (doc, row, start, windows: their hashes, packed).
+    The smallest key of each window is a partial minimum, by batch, task and then hash."""
+
+    def minima(batches):
+        for b in batches:
+            doc = b.column(0).to_numpy()
+            packed = b.column(1).to_pylist()
+            h = np.frombuffer(b"".join(packed), "<i8")
+            doc = np.repeat(doc, [len(x) // 8 for x in packed])
+            order = np.lexsort((doc, h))
+            h, doc = h[order], doc[order]
+            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.array([], np.int64)
+            last = np.append(first[1:], len(h)) - 1 if len(first) else first
+            yield pa.RecordBatch.from_arrays([pa.array(h[first]), pa.array(doc[first]), pa.array(doc[last])], names=["h", "low", "high"])
+
+    low = runs.select("doc", "windows").mapInArrow(lean(minima), "h long, low long, high long")
+    low = written(low.groupBy("h").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("h", "low"), "dedup-low")
+    if low.count() * 16 > BROADCAST_BYTES:  # too many to broadcast: one row a window, joined by its hash
+
+        def unpack(batches):
+            for b in batches:
+                for d, r, s, x in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    h = np.frombuffer(x, "<i8")
+                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), d)), pa.array(np.full(len(h), r)), pa.array(s + np.arange(len(h)))], names=["h", "doc", "row", "start"])
+
+        every = runs.select("doc", "row", "start", "windows").mapInArrow(lean(unpack), "h long, doc long, row long, start long")
+        return every.join(low, "h").where("low < doc").select("row", "start", (F.col("start") + w).alias("end"))
+    rows = low.toPandas().sort_values("h")
+    held = runs.sparkSession.sparkContext.broadcast((rows["h"].to_numpy(), rows["low"].to_numpy()))
+
+    def judge(batches):
+        keys, lows = held.value
+        for b in batches:
+            packed = b.column(3).to_pylist()
+            sizes = [len(x) // 8 for x in packed]
+            h = np.frombuffer(b"".join(packed), "<i8")
+            run = np.repeat(np.arange(len(sizes)), sizes)
+            place = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            at = np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1))
+            gone = (keys[at] == h) & (lows[at] < b.column(0).to_numpy()[run]) if len(keys) else np.zeros(len(h), bool)
+            run, a, z = _runs(run[gone], place[gone])
+            start = b.column(2).to_numpy()[run]
+            # neighbouring anchors' ranges of one document overlap: one row for each run of them
+            row, a, z = b.column(1).to_numpy()[run], start + a, start + z + w
+            first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (a[1:] > z[:-1]) | (a[1:] < a[:-1])])) if len(row) else np.array([], np.int64)
+            last = np.append(first[1:], len(row)) - 1 if len(first) else first
+            yield pa.RecordBatch.from_arrays([pa.array(row[first]), pa.array(a[first]), pa.array(z[last])], names=["row", "start", "end"])
+
+    return runs.select("doc", "row", "start", "windows").mapInArrow(lean(judge), "row long, start long, end long")
+
+
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", w: int = W) -> DataFrame:
     """key, n_words, n_removed, kept (the remaining words joined by a blank), removed array<struct<start, end>>
     (merged word ranges)."""
@@ -276,7 +325,7 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", w: int
     none = F.lit(None).cast("array<struct<start:long,end:long>>").alias("ranges")
     clean = rows.join(small, "_row", "left_anti").select(key, "_text", none)
     marked = rows.join(small, "_row", "left_semi").join(by_row.withColumnRenamed("row", "_row"), "_row").select(key, "_text", "ranges")
-    return clean.unionByName(marked).mapInArrow(remove, schema)
+    return clean.unionByName(marked).mapInArrow(lean(remove), schema)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
