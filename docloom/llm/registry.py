@@ -26,12 +26,8 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLES: dict[str, str] = {
-    "op4_pii": op4_pii,
-    "op5_bpe_tokens": op5_bpe_tokens,
-    "op6_nearest_neighbours": op6_nearest_neighbours,
-    "op7_language_id": op7_language_id,
-    "op8_token_store": op8_token_store,
+ORACLES = {
+    "op1_ngram_jaccard_join": OP1_SQL,
     "op2_substring_dedup": OP2_SQL,
     "op9_decontamination": OP9_SQL,
 }
