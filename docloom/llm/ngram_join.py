@@ -11,11 +11,16 @@ number of signatures against the pairs that short signatures would let meet by c
 
 Signatures are packed by hash part with numpy, and only those that two different sets share are kept.
 Equal sets are one class from the start, so copies cost one entry a task and hash part. The links are
-then found in two rounds, so that a group of k near copies costs about k checks, not k squared:
+then found in two rounds:
 
-1. every class is checked against one partner, the smallest class of most of its shared signatures;
-2. components are labelled, and each remaining pair of classes that shares a signature but not a
-   component is checked. Pairs within a component are connected already.
+1. every class is put together with one partner, the one of most shared signatures among each signature's
+   first class;
+2. classes that then share a signature but not a component are put together: all of a crowded signature, and
+   of the others each pair that shares as many signatures as similar sets must (all but H of the larger's
+   filled segments). A pair without a crowded signature has all its common ones there, so its count is whole.
+
+Classes that are put together meet block by block, in tasks that write no pairs, only links that join
+components, so a group of k near copies writes about k rows.
 
 Checks are exact, on the shingles of the texts themselves. No cap is set on candidates or partners.
 
@@ -26,6 +31,7 @@ keys never being a component's smallest; an empty table gives no rows; further c
 
 from __future__ import annotations
 
+import math
 from functools import lru_cache
 
 import numpy as np
@@ -35,8 +41,9 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from .common import maybe_broadcast, table, width, written
+from .common import lean, maybe_broadcast, table, width, written
 from .graph import components
 
 N = 5
@@ -47,8 +54,13 @@ CHUNK = 4096
 MEMO = 200_000
 SIG_BITS = 40
 
-#: Cost model: of writing one signature, of one chance meeting, and how fast meetings fall a shingle.
-SIGNATURE_COST, MEETING_COST, MEETING_DECAY = 1.0, 40.0, 0.25
+#: Cost model: of writing one signature, of one chance meeting, how fast meetings fall a shingle, and of an
+#: empty segment where it must be a signature, which many sets share.
+SIGNATURE_COST, MEETING_COST, MEETING_DECAY, EMPTY_COST = 1.0, 8.0, 0.35, 5000.0
+SLACK = 1.4
+#: A signature that more classes of several components share is crowded; CELL: classes of a block.
+CROWD = 48
+CELL = 1024
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _U = np.uint64
@@ -123,25 +135,33 @@ def most_different(size: int, num: int = NUM, den: int = DEN) -> int:
 
 @lru_cache(maxsize=None)
 def allocation(band: int, num: int = NUM, den: int = DEN) -> tuple[int, int, int]:
-    """Segments, how many of them (the first) carry one-deletion neighbourhoods, and H + 1."""
+    """Segments, how many of them (the first) carry one-deletion neighbourhoods, and H + 1.
+
+    Without neighbourhoods there are SLACK times H + 1 segments, so that sets need no empty segment."""
     lo, hi = band_range(band)
     need = most_different(hi, num, den) + 1
     best = None
     for deep in range((need + 1) // 2 + 1):
         plain = max(0, need - 2 * deep)
+        if not deep and need > 1:
+            plain = math.ceil(SLACK * need)
         m = deep + plain
         size = lo / m
         cost = plain * (SIGNATURE_COST + MEETING_COST * MEETING_DECAY**size) + deep * (size + 1) * (SIGNATURE_COST + MEETING_COST * MEETING_DECAY ** max(0.0, size - 1))
+        if deep and m > 1:
+            cost += m * math.exp(-size) * EMPTY_COST
         if best is None or cost < best[0]:
             best = (cost, m, deep)
     return best[1], best[2], need
 
 
-def signatures(h: np.ndarray, num: int = NUM, den: int = DEN) -> np.ndarray:
-    """64-bit signatures of a set in all its bands."""
+def signatures(h: np.ndarray, num: int = NUM, den: int = DEN) -> tuple[np.ndarray, int, int]:
+    """64-bit signatures of a set in all its bands; how many of them any similar set that is no larger has too (in
+    a band at most H of the set's filled segments differ); and how many any similar set has at all."""
     size = len(h)
     if not size:
-        return np.empty(0, np.uint64)
+        return np.empty(0, np.uint64), 1, 1
+    least, floor = 1, None
     x = _mix(h + _U(0x632BE59BD9B4E019))
     out = []
     for band in range(band_of(size), band_of(size * den // num) + 1):
@@ -151,6 +171,10 @@ def signatures(h: np.ndarray, num: int = NUM, den: int = DEN) -> np.ndarray:
         ids, sums = seg[starts], np.add.reduceat(x, starts)
         tag = lambda s, i, b=band: _mix(s + (i + _U(1)) * _U(0x9E3779B97F4A7C15) + _U(b * 0xD6E8FEB86659FD93 & (1 << 64) - 1))
         out.append(tag(sums, ids))
+        agree = 1 if deep else max(1, len(ids) - need + 1)
+        floor = agree if floor is None else min(floor, agree)
+        if band == band_of(size):
+            least = agree
         if deep or len(ids) < need:
             # Empty segments count only where a set fills too few: one with H + 1 filled segments
             # agrees with any similar set in a filled one.
@@ -160,34 +184,37 @@ def signatures(h: np.ndarray, num: int = NUM, den: int = DEN) -> np.ndarray:
             inside = seg < deep
             per = np.repeat(sums, np.diff(np.append(starts, size)))
             out.append(tag((per - x)[inside], seg[inside]))
-    return np.unique(np.concatenate(out))
+    return np.unique(np.concatenate(out)), least, floor
 
 
-def _pack(sig: np.ndarray, doc: np.ndarray, uid: np.ndarray, size: np.ndarray, press) -> bytes:
+def _pack(sig: np.ndarray, doc: np.ndarray, uid: np.ndarray, size: np.ndarray, least: np.ndarray, floor: np.ndarray, press) -> bytes:
     """Signatures in order as differences; the bytes of equal weight stand together."""
     order = np.argsort(sig, kind="stable")
     used, doc = np.unique(doc[order], return_inverse=True)
     d = np.diff(sig[order], prepend=_U(0))
     planes = np.frombuffer(d.astype("<u8").tobytes(), np.uint8).reshape(-1, 8).T[: SIG_BITS // 8]
     head = np.array([len(used), len(d)], "<u4").tobytes()
-    return press.compress(head + uid[used].astype("<u8").tobytes() + size[used].astype("<u4").tobytes() + planes.tobytes() + doc.astype("<u2").tobytes())
+    return press.compress(head + uid[used].astype("<u8").tobytes() + size[used].astype("<u4").tobytes() + least[used].astype("<u4").tobytes() + floor[used].astype("<u4").tobytes() + planes.tobytes() + doc.astype("<u2").tobytes())
 
 
-def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _unpack(raw: bytes) -> tuple[np.ndarray, ...]:
     docs, n = (int(x) for x in np.frombuffer(raw, "<u4", 2))
     uid = np.frombuffer(raw, "<u8", docs, 8)
     size = np.frombuffer(raw, "<u4", docs, 8 + 8 * docs)
-    at = 8 + 12 * docs
+    least = np.frombuffer(raw, "<u4", docs, 8 + 12 * docs)
+    floor = np.frombuffer(raw, "<u4", docs, 8 + 16 * docs)
+    at = 8 + 20 * docs
     planes = np.zeros((8, n), np.uint8)
     planes[: SIG_BITS // 8] = np.frombuffer(raw, np.uint8, n * (SIG_BITS // 8), at).reshape(-1, n)
     sig = np.cumsum(np.frombuffer(planes.T.tobytes(), "<u8"), dtype=np.uint64)
     doc = np.frombuffer(raw, "<u2", n, at + n * (SIG_BITS // 8))
-    return sig, uid[doc], size[doc]
+    return sig, uid[doc], size[doc], least[doc], floor[doc]
 
 
 def _signed(docs: DataFrame, key: str, text: str, n: int, num: int, den: int) -> DataFrame:
     """One pass over the texts. Rows of kind 0: key, uid (the set's hash; null: empty set) and n_shingles of
-    every document; of kind 1: entries (sig, uid, n_shingles, center) of signatures that two sets share."""
+    every document; of kind 1: entries (sig, uid, n_shingles, least, and the same of the signature's first class) of signatures
+    that two sets share."""
     parts = width(docs)
     kind = docs.schema[key].dataType
 
@@ -201,17 +228,17 @@ def _signed(docs: DataFrame, key: str, text: str, n: int, num: int, den: int) ->
             sig = np.concatenate([s for _, s in held])
             doc = np.repeat(np.arange(len(held)), [len(s) for _, s in held])
             uid = np.array([u for u, _ in held], np.uint64)
-            size = np.array(sizes, np.uint32)
+            size, least, floor = (np.array(x, np.uint32) for x in zip(*sizes, strict=True))
             part = (sig % _U(parts)).astype(np.int32)
             sig = (sig // _U(parts)) & _U((1 << SIG_BITS) - 1)
             order = np.argsort(part, kind="stable")
             ends = np.searchsorted(part[order], np.arange(parts + 1))
-            out = [(p, _pack(sig[o], doc[o], uid, size, press)) for p in range(parts) if len(o := order[ends[p] : ends[p + 1]])]
+            out = [(p, _pack(sig[o], doc[o], uid, size, least, floor, press)) for p in range(parts) if len(o := order[ends[p] : ends[p + 1]])]
             k = len(out)
             return pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int32()), pa.array([1] * k, pa.int8()), pa.nulls(k, key_type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array([x for _, x in out], pa.binary())], names=names)
 
         names = ["part", "kind", "key", "uid", "n_shingles", "blob"]
-        sizes: list[int] = []
+        sizes: list[tuple[int, int, int]] = []
         key_type = None
         for b in batches:
             key_type = b.column(1).type
@@ -227,8 +254,9 @@ def _signed(docs: DataFrame, key: str, text: str, n: int, num: int, den: int) ->
                 if uid in known:
                     continue
                 known.add(uid)
-                held.append((uid, signatures(h, num, den)))
-                sizes.append(len(h))
+                sig, least, floor = signatures(h, num, den)
+                held.append((uid, sig))
+                sizes.append((len(h), least, floor))
                 if len(held) == CHUNK:
                     yield flush()
                     held.clear()
@@ -242,33 +270,34 @@ def _signed(docs: DataFrame, key: str, text: str, n: int, num: int, den: int) ->
 
     def share(batches):
         unpress = zstandard.ZstdDecompressor()
-        names = ["kind", "key", "uid", "n_shingles", "sig", "center"]
+        names = ["kind", "key", "uid", "n_shingles", "least", "floor", "sig", "b_uid", "b_n", "b_least"]
         got: list = []
         at = None
         key_type = None
 
         def entries():
-            sig, uid, size = (np.concatenate(x) for x in zip(*got, strict=True))
+            sig, uid, size, least, floor = (np.concatenate(x) for x in zip(*got, strict=True))
             order = np.lexsort((uid, sig))
-            sig, uid, size = sig[order], uid[order], size[order]
+            sig, uid, size, least, floor = sig[order], uid[order], size[order], least[order], floor[order]
             new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (uid[1:] != uid[:-1])])
-            sig, uid, size = sig[new], uid[new].view("<i8"), size[new]
+            sig, uid, size, least, floor = sig[new], uid[new].view("<i8"), size[new].astype("i8"), least[new].astype("i8"), floor[new].astype("i8")
             first = np.concatenate([[True], sig[1:] != sig[:-1]])
             run = np.cumsum(first) - 1
-            many = np.bincount(run)[run] > 1
-            # the smallest class of each signature, in the order of the unsigned ids
-            center = uid[np.flatnonzero(first)][run]
-            for a in range(0, int(many.sum()), 50_000):
-                rows = np.flatnonzero(many)[a : a + 50_000]
-                k = len(rows)
-                yield pa.RecordBatch.from_arrays([pa.array([1] * k, pa.int8()), pa.nulls(k, key_type), pa.array(uid[rows]), pa.array(size[rows].astype("i8")), pa.array((np.int64(at) << 40) + sig[rows].astype("i8")), pa.array(center[rows])], names=names)
+            many = np.flatnonzero(np.bincount(run)[run] > 1)
+            # each class meets the signature's first class, which itself meets the second
+            other = np.flatnonzero(first)[run] + first
+            for a in range(0, len(many), 50_000):
+                r = many[a : a + 50_000]
+                o = other[r]
+                k = len(r)
+                yield pa.RecordBatch.from_arrays([pa.array([1] * k, pa.int8()), pa.nulls(k, key_type), pa.array(uid[r]), pa.array(size[r]), pa.array(least[r]), pa.array(floor[r]), pa.array((np.int64(at) << 40) + sig[r].astype("i8")), pa.array(uid[o]), pa.array(size[o]), pa.array(least[o])], names=names)
 
         for b in batches:
             key_type = b.column(2).type
             plain = b.filter(pc.equal(b.column(1), 0))
             if plain.num_rows:
                 k = plain.num_rows
-                yield pa.RecordBatch.from_arrays([plain.column(1), plain.column(2), plain.column(3), plain.column(4), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], names=names)
+                yield pa.RecordBatch.from_arrays([plain.column(1), plain.column(2), plain.column(3), plain.column(4), *[pa.nulls(k, pa.int64())] * 6], names=names)
             packed = b.filter(pc.equal(b.column(1), 1))
             for p, blob in zip(packed.column(0).to_pylist(), packed.column(5), strict=True):
                 if p != at and got:
@@ -281,16 +310,15 @@ def _signed(docs: DataFrame, key: str, text: str, n: int, num: int, den: int) ->
 
     k = kind.simpleString()
     source = docs.select(F.col(text).cast("binary").alias("_text"), F.col(key).alias("_key"))
-    packed = source.mapInArrow(sign, f"part int, kind byte, key {k}, uid long, n_shingles long, blob binary")
-    return packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(share, f"kind byte, key {k}, uid long, n_shingles long, sig long, center long")
+    packed = source.mapInArrow(lean(sign), f"part int, kind byte, key {k}, uid long, n_shingles long, blob binary")
+    return packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(lean(share), f"kind byte, key {k}, uid long, n_shingles long, least long, floor long, sig long, b_uid long, b_n long, b_least long")
 
 
-def _checked(pairs: DataFrame, members: DataFrame, docs: DataFrame, key: str, text: str, n: int, num: int, den: int) -> DataFrame:
-    """pairs: a, b (class ids). The pairs whose sets are similar, by their texts."""
-    wanted = pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))).distinct()
+def _texts(wanted: DataFrame, members: DataFrame, docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
+    """uid, text: the text of one document of each wanted class (uid, distinct)."""
     chosen = written(members.join(wanted, "uid", "left_semi").groupBy("uid").agg(F.min("key").alias("_key")), "join-wanted")
     rows = chosen.count()
-    # one document a class; of documents with the same key the one whose text has the class's set is taken
+    # of documents with the same key the one whose text has the class's set is taken
     texts = docs.select(F.col(key).alias("_key"), F.col(text).cast("binary").alias("_text")).join(maybe_broadcast(chosen, rows, 32), "_key")
 
     def own(batches):
@@ -302,46 +330,136 @@ def _checked(pairs: DataFrame, members: DataFrame, docs: DataFrame, key: str, te
                 keep.append((h - (1 << 64) if h >> 63 else h) == uid)
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    texts = texts.select("uid", "_text").mapInArrow(own, "uid long, text binary").dropDuplicates(["uid"])
-
-    def verify(batches):
-        last, mine = None, set()
-        for batch in batches:
-            keep = []
-            for b, ta, tb in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                if b != last:
-                    last, mine = b, shingles(tb.as_py(), n)
-                other = shingles(ta.as_py(), n)
-                both = len(mine & other)
-                keep.append(den * both >= num * (len(mine) + len(other) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    return texts.select("uid", F.col("_text").alias("text")).mapInArrow(lean(own), "uid long, text binary").dropDuplicates(["uid"])
+
+
+def _bridges(ids: list[int], labels: list[int], texts: list[bytes], side: np.ndarray, n: int, num: int, den: int) -> list[tuple[int, int]]:
+    """Links between the components (labels) of one cell's classes: enough of them to join what is linked.
+    side: 0 and 1 are two blocks, which meet; all 2 is one block, which meets itself."""
+    hasher = Hasher(n)
+    sets = [hasher(t) for t in texts]
+    sizes = np.array([len(x) for x in sets])
+    root = {x: x for x in labels}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    index = np.flatnonzero(side != 1)
+    h = np.concatenate([sets[i] for i in index])
+    owner = np.repeat(np.arange(len(index)), sizes[index])
+    order = np.argsort(h, kind="stable")
+    h, owner = h[order], owner[order]
+    known: dict[int, set[bytes]] = {}
+    out = []
+    for j in np.flatnonzero(side != 0):
+        lo, hi = np.searchsorted(h, sets[j], "left"), np.searchsorted(h, sets[j], "right")
+        width_ = hi - lo
+        at = np.repeat(lo - np.cumsum(width_) + width_, width_) + np.arange(int(width_.sum()))
+        common = np.bincount(owner[at], minlength=len(index))
+        for k in np.flatnonzero(den * common >= num * (sizes[index] + sizes[j] - common)):
+            i = int(index[k])
+            if find(labels[i]) == find(labels[j]):
+                continue
+            mine, other = (known.setdefault(x, shingles(texts[x], n)) for x in (i, j))
+            both = len(mine & other)
+            if den * both >= num * (len(mine) + len(other) - both):
+                root[find(labels[i])] = find(labels[j])
+                out.append((ids[i], ids[j]))
+    return out
+
+
+def _met(ties: DataFrame, label: DataFrame, members: DataFrame, docs: DataFrame, key: str, text: str, n: int, num: int, den: int) -> DataFrame:
+    """a, b: links among the classes that ties (a, b) put together. label: node, label of classes that have one.
+
+    What ties join is a crowd. It is dealt to blocks of about CELL classes by hash, and every two blocks meet in a
+    task of their own, by an index of their shingles. So a class's text is sent once for each block of its crowd
+    (mostly one), no task holds more than two blocks, and no pairs are written, only links that join components."""
+    crowd = written(components(ties), "join-crowds")
+    blocks = crowd.groupBy("label").agg(F.ceil(F.count("*") / F.lit(CELL)).cast("int").alias("blocks"))
+    placed = crowd.join(blocks, "label").select(F.col("node").alias("uid"), F.col("label").alias("crowd"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+    placed = placed.join(label.select(F.col("node").alias("uid"), "label"), "uid", "left").withColumn("label", F.coalesce("label", "uid"))
+    texts = _texts(placed.select("uid"), members, docs, key, text, n)
+    sent = placed.join(texts, "uid").select("crowd", "uid", "label", "text", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    cells = sent.select("crowd", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"), "uid", "label", "text")
+
+    def meet(batches):
+        cell, rows = None, []
+
+        def judged():
+            ids, labels, texts_, side = [r[4] for r in rows], [r[5] for r in rows], [r[6] for r in rows], np.array([r[3] for r in rows])
+            got = _bridges(ids, labels, texts_, side, n, num, den) if len(set(labels)) > 1 and ((side != 1).any() and (side != 0).any()) else []
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.int64()), pa.array([y for _, y in got], pa.int64())], names=["a", "b"])
 
-    one = texts.select(F.col("uid").alias("a"), F.col("text").alias("_ta"))
-    two = texts.select(F.col("uid").alias("b"), F.col("text").alias("_tb"))
-    return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "_ta", "_tb").mapInArrow(verify, "a long, b long")
+        for b in batches:
+            for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if r[:3] != cell and rows:
+                    yield judged()
+                    rows.clear()
+                cell = r[:3]
+                rows.append(r)
+        if rows:
+            yield judged()
+
+    dealt = cells.repartition(width(docs), "crowd", "i", "j").sortWithinPartitions("crowd", "i", "j")
+    return dealt.mapInArrow(lean(meet), "a long, b long")
+
+
+def _enough(num: int, den: int):
+    """A pair's sizes allow similarity, and it has as many common signatures (c) as its larger set asks for."""
+    larger = F.when(F.col("n") >= F.col("b_n"), F.col("least")).otherwise(F.col("b_least"))
+    return (den * F.least("n", "b_n") >= num * F.greatest("n", "b_n")) & (F.col("c") >= larger)
+
+
+def _best(met: DataFrame, num: int, den: int) -> DataFrame:
+    """Of each class, the met class (b_uid, b_n, b_least) of most common signatures: a, b."""
+    counted = met.groupBy("uid", "n", "least", "b_uid", "b_n", "b_least").agg(F.count("*").alias("c")).where(_enough(num, den))
+    return counted.groupBy(F.col("uid").alias("a")).agg(F.max_by("b_uid", F.struct("c", "b_uid")).alias("b")).select("a", "b")
+
+
+def _mixed(entries: DataFrame, label: DataFrame, labels: int) -> DataFrame:
+    """Entries of signatures that more than one component has, with their component (label) and the number of the
+    signature's entries (crowd). Classes with fewer such entries than any similar class has in common with them
+    (floor) are left out."""
+    own = W.partitionBy("sig")
+    small = maybe_broadcast(label.select(F.col("node").alias("uid"), "label"), labels, 16)
+    labelled = entries.select("uid", "n", "least", "floor", "sig").join(small, "uid", "left").withColumn("label", F.coalesce("label", "uid"))
+    seen = labelled.withColumn("low", F.min("label").over(own)).withColumn("high", F.max("label").over(own))
+    mixed = written(seen.where("low < high").drop("low", "high"), "join-mixed")
+    able = written(mixed.groupBy("uid", "floor").agg(F.count("*").alias("c")).where("c >= floor").select("uid"), "join-able")
+    kept = mixed.join(maybe_broadcast(able, able.count(), 16), "uid", "left_semi")
+    return written(kept.withColumn("crowd", F.count("*").over(own)).drop("floor"), "join-kept")
+
+
+def _pairs(mixed: DataFrame, num: int, den: int) -> DataFrame:
+    """All pairs of classes of different components that have enough signatures in common."""
+    r = mixed.select("sig", "uid", "n", "least", "label")
+    s = mixed.select("sig", F.col("uid").alias("b_uid"), F.col("n").alias("b_n"), F.col("least").alias("b_least"), F.col("label").alias("b_label"))
+    near = (r["sig"] == s["sig"]) & (F.col("label") < F.col("b_label")) & (den * F.least("n", "b_n") >= num * F.greatest("n", "b_n"))
+    counted = r.join(s, near).groupBy("uid", "n", "least", "b_uid", "b_n", "b_least").agg(F.count("*").alias("c"))
+    return counted.where(_enough(num, den)).select(F.col("uid").alias("a"), F.col("b_uid").alias("b"))
 
 
 def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, num: int = NUM, den: int = DEN) -> DataFrame:
     """key, n_shingles, class_id (hash of the set), component_id (smallest key reachable by links)."""
     all_rows = written(_signed(docs, key, text, n, num, den), "join-signed")
     members = all_rows.where("kind = 0").select("key", "uid", "n_shingles")
-    entries = all_rows.where("kind = 1").select("uid", F.col("n_shingles").alias("n"), "sig", "center")
+    entries = all_rows.where("kind = 1").select("uid", F.col("n_shingles").alias("n"), "least", "floor", "sig", "b_uid", "b_n", "b_least")
 
-    counted = entries.where("uid <> center").select("uid", "center").repartition("uid").groupBy("uid", "center").agg(F.count("*").alias("c"))
-    star = counted.groupBy("uid").agg(F.max_by("center", F.struct("c", -F.col("center"))).alias("center"))
-    first = written(star.select(F.col("uid").alias("a"), F.col("center").alias("b")), "join-first")
-    links = written(_checked(first, members, docs, key, text, n, num, den), "join-links")
+    # every class with the partner of most common signatures
+    alone = docs.sparkSession.createDataFrame([], "node long, label long")
+    first = written(_best(entries, num, den), "join-best")
+    links = written(_met(first, alone, members, docs, key, text, n, num, den), "join-links")
     label = written(components(links), "join-labels")
 
-    labelled = entries.select("uid", "n", "sig").join(label.select(F.col("node").alias("uid"), "label"), "uid", "left").select("uid", "n", "sig", F.coalesce("label", "uid").alias("label"))
-    mixed = labelled.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("sig")
-    rest = written(labelled.join(mixed, "sig", "left_semi"), "join-mixed")
-    r, s = rest.alias("r"), rest.alias("s")
-    near = (F.col("r.label") < F.col("s.label")) & (den * F.least("r.n", "s.n") >= num * F.greatest("r.n", "s.n"))
-    pairs = r.join(s, (F.col("r.sig") == F.col("s.sig")) & near).select(F.col("r.uid").alias("a"), F.col("s.uid").alias("b")).distinct()
-    done = first.unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    second = written(pairs.join(done, ["a", "b"], "left_anti"), "join-second")
-    more = written(_checked(second, members, docs, key, text, n, num, den), "join-more")
+    # what is left of several components: pairs where few classes share a signature, all of them where many do
+    mixed = _mixed(entries, label, label.count())
+    hot = mixed.where(F.col("crowd") > CROWD)
+    low = F.min("uid").over(W.partitionBy("sig"))
+    ties = hot.select(F.col("uid").alias("a"), low.alias("b")).where("a <> b").unionByName(_pairs(mixed.where(F.col("crowd") <= CROWD), num, den)).distinct()
+    more = written(_met(ties, label, members, docs, key, text, n, num, den), "join-links")
     if more.head(1):
         label = written(components(links.unionByName(more)), "join-labels")
 
