@@ -213,12 +213,17 @@ def decode(tokens: DataFrame, tokenizer_path: str, ids: str = "ids", into: str =
             rest = [x for x in range(256) if x not in printable]
             byte = {chr(x): x for x in printable} | {chr(256 + i): x for i, x in enumerate(rest)}
             piece = [bytes(byte[c] for c in p) if all(c in byte for c in p) else p.encode() for p in piece]
-        get = piece.__getitem__
+        table = pa.array(piece, pa.string() if decoder is None else pa.binary())
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 some = b.slice(i, 256)
-                texts = [" ".join(map(get, x)) if decoder is None else b"".join(map(get, x)).decode("utf-8", "replace") for x in (v or [] for v in some.column(at).to_pylist())]
-                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(texts, pa.string())], names=schema.names)
+                ids = pc.fill_null(some.column(at), pa.scalar([], some.column(at).type))
+                ends = np.concatenate([[0], np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False))]).astype("i4")
+                pieces = pa.ListArray.from_arrays(pa.array(ends), table.take(ids.flatten()))
+                texts = pc.binary_join(pieces, " " if decoder is None else b"")
+                if decoder is not None:
+                    texts = pa.array([x.as_py().decode("utf-8", "replace") for x in texts], pa.string())
+                yield pa.RecordBatch.from_arrays([*some.columns, texts], names=schema.names)
 
     return tokens.mapInArrow(lean(run), schema)
 
