@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 
 from .. import schema
 from ..config import SearchConfig
-from ..functions import text
+from ..functions import dates, text
 from ..functions.vectors import dot
 from ..operators import catalog, filters, ranking
 from ..sources import store
@@ -122,6 +122,28 @@ class SearchEngine:
         leaders = ranking.deduplicate(self.ranked(batch, mode).join(keys, "doc_idx").join(F.broadcast(queries), "query_id"))
         return self._hits(leaders)
 
+    def explain(self, batch: list[Query], mode: str = "hybrid") -> DataFrame:
+        """Every candidate with the parts of its score: ranks and scores of both layers, boosts, and the final score."""
+        c, queries = self.config, self.frame(batch)
+        mode = self.effective_mode(mode, batch)
+        parts = self.ranked(batch, mode)
+        none = F.lit(None)
+        if mode != "semantic":
+            lex = ranking.top(self._eligible(ranking.lexical(ranking.query_terms(queries, c, self.lemma), self.postings), queries, batch), c.top)
+            parts = parts.join(lex.select("query_id", "doc_idx", F.col("rank").alias("bm25_rank"), F.col("score").alias("bm25_score")), ["query_id", "doc_idx"], "left")
+        else:
+            parts = parts.withColumns({"bm25_rank": none.cast("int"), "bm25_score": none.cast("double")})
+        if mode != "bm25":
+            sem = ranking.top(self._eligible(ranking.semantic(queries, self.vectors), queries, batch), c.top)
+            parts = parts.join(sem.select("query_id", "doc_idx", F.col("rank").alias("sem_rank"), F.col("score").alias("sem_sim")), ["query_id", "doc_idx"], "left")
+        else:
+            parts = parts.withColumns({"sem_rank": none.cast("int"), "sem_sim": none.cast("double")})
+        asked = queries.select("query_id", text.tokens(F.col("query"), c, self.lemma).alias("words"))
+        wide = self.docs.select("doc_idx", "year", (F.length("sections.vs_position") > 0).alias("structured_vs"), "lemmas")
+        met = parts.join(F.broadcast(asked), "query_id").join(wide, "doc_idx")
+        near = 1 + c.proximity * ranking.proximity(F.col("lemmas"), F.col("words"), c)
+        return met.select("query_id", "pos", "doc_idx", "bm25_rank", "bm25_score", "sem_rank", "sem_sim", "structured_vs", near.alias("proximity_x"), dates.freshness(F.col("year"), c).alias("freshness_x"), "factor", F.col("score").alias("final"))
+
     def _hits(self, leaders: DataFrame) -> DataFrame:
         d = self.docs.select("doc_idx", "id", "title", "court", "date", text.strip(F.regexp_replace("case_number", "\n", " ")).alias("case_number"), text.snippet(F.col("sections.vs_position"), F.col("sections.residual"), F.col("title"), self.config.snippet).alias("snippet"), F.col("hashtags").alias("tags"), "case_id")
         met = leaders.join(d, "doc_idx")
@@ -148,3 +170,9 @@ class SearchEngine:
 
     def stats(self) -> DataFrame:
         return catalog.stats(self.docs)
+
+
+def card(hit: dict) -> str:
+    """A hit as a text card."""
+    also = f" (also: {', '.join(hit['alternative_channels'])})" if hit["alternative_channels"] else ""
+    return f"{hit['rank']}. [{hit['score']}] {hit['title']}\n   {hit['court']}, {hit['date']}, {hit['case_number'][:120]}{also}\n   {hit['snippet']}"

@@ -108,6 +108,9 @@ ORACLES = {
     "freshness": sql(DOCS, then="SELECT doc_idx, round(1 + 0.30 * exp(-greatest(0, 2026 - year) / 4.0), 6) AS freshness FROM d"),
     "proximity": sql(DOCS, STATS, LEX, SEM, FUSE, BOOST, then="SELECT query_id, doc_idx, round(prox, 6) AS proximity FROM bo"),
     "boosted_hybrid": sql(DOCS, STATS, LEX, SEM, FUSE, BOOST, then="SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_idx, round(score, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, ord) AS rank FROM bo)"),
+    "cache_lookup": "SELECT item_id AS query_id, item_id % 2 = 0 AND item_id IN (SELECT vec_id FROM embeddings) AS hit FROM benchmark",
+    "adjacent_pairs": f"WITH {_Q}, ql AS (SELECT query_id, {tok('query')} AS words FROM q) SELECT query_id, CAST(i - 1 AS INTEGER) AS pos, words[i] AS a, words[i + 1] AS b FROM (SELECT query_id, words, unnest(range(1, len(words))) AS i FROM ql)",
+    "explain_scores": sql(DOCS, STATS, LEX, SEM, FUSE, BOOST, then="SELECT bo.query_id, CAST(row_number() OVER (PARTITION BY bo.query_id ORDER BY round(bo.score, 9) DESC, ord) AS INTEGER) AS pos, bo.doc_idx, CAST(rl.rank AS INTEGER) AS bm25_rank, round(rl.score, 5) AS bm25_score, CAST(rs.rank AS INTEGER) AS sem_rank, round(rs.score, 5) AS sem_sim, length(vs) > 0 AS structured_vs, round(1 + 0.5 * prox, 6) AS proximity_x, round(1 + 0.30 * exp(-greatest(0, 2026 - year) / 4.0), 6) AS freshness_x, round(bo.score, 5) AS final FROM bo JOIN d ON d.doc_idx = bo.doc_idx LEFT JOIN rl ON rl.query_id = bo.query_id AND rl.doc_idx = bo.doc_idx LEFT JOIN rs ON rs.query_id = bo.query_id AND rs.doc_idx = bo.doc_idx"),
     "parse_date": "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS iso_date, CAST(year(o_orderdate) AS INTEGER) AS year FROM orders",
     "reconcile_year": "WITH y AS (SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS dy, CASE WHEN o_orderkey % 3 <> 0 THEN CAST(year(o_orderdate) + o_orderkey % 5 - 2 AS INTEGER) END AS ay, CASE WHEN o_orderkey % 4 <> 0 THEN CAST(1990 + o_orderkey % 10 AS INTEGER) END AS cy FROM orders) SELECT o_orderkey, coalesce(greatest(CASE WHEN cy IS NULL OR ay >= cy THEN ay END, CASE WHEN cy IS NULL OR dy >= cy THEN dy END), cy) AS year FROM y",
     "split_csv": "SELECT p_partkey, array_to_string(list_filter(list_transform(regexp_split_to_array(p_brand || ' ; ' || p_type || ',, ' || p_name, '[;,]'), lambda x: trim(x, ' ')), lambda x: x <> ''), '|') AS parts FROM part",

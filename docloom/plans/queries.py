@@ -186,6 +186,32 @@ def semantic_hits(s, d):
     return fixture.engine(s, d).search(fixture.batch(s, d), "semantic")
 
 
+def explain_scores(s, d):
+    e = fixture.engine(s, d).explain(fixture.batch(s, d)).drop("factor")
+    return e.withColumns({c: F.round(c, 5) for c in ("bm25_score", "sem_sim", "final")}).withColumns({c: F.round(c, 6) for c in ("proximity_x", "freshness_x")})
+
+
+def cache_lookup(s, d):
+    """Queries against a cache of half-precision vectors that holds every other one of them."""
+    from datetime import datetime
+
+    from ..functions.vectors import to_half
+    from ..sources.corpus import cached_vectors
+
+    b = s.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    v = fixture.vectors(s, d)
+    cache = b.join(v, v["doc_id"] == b["query_id"]).where("query_id % 2 = 0").select(text.query_key(F.col("query")).alias("key"), to_half("embedding").alias("vec"), F.lit(datetime(2100, 1, 1)).alias("expires_at"))
+    return cached_vectors(b, cache, datetime(2026, 1, 1), 64).select("query_id", "hit")
+
+
+def adjacent_pairs(s, d):
+    """Neighbouring pairs of each query's words, repeats kept."""
+    from pyspark.sql import Window as W
+
+    words = fixture.engine(s, d).frame(fixture.batch(s, d)).select("query_id", F.posexplode(text.tokens(F.col("query"))).alias("pos", "a"))
+    return words.withColumn("b", F.lead("a").over(W.partitionBy("query_id").orderBy("pos"))).where("b is not null").select("query_id", "pos", "a", "b")
+
+
 def parse_date(s, d):
     o = s.read.parquet(f"{d}/orders.parquet")
     written = F.concat(F.lit(" "), F.date_format("o_orderdate", "d.M.yyyy"), F.lit(" г."))
@@ -225,6 +251,6 @@ def cardinality_guard(s, d):
     return cardinality_gap(_docs(s, d), fixture.vectors(s, d))
 
 
-QUERIES = {f.__name__: f for f in (tokenize_counts, bm25_term_stats, bm25_section_stats, bm25_topk, bm25_weighted_sections, filter_court, filter_tag, filter_article, filter_year, filter_listing, stats, list_tags, unique_cases, case_groups, duplicate_groups, dedup_leader, get_case, section_presence, snippet, embedding_text, query_hash, l2_normalize, cosine_topk, find_similar, candidate_union, rrf_hybrid, freshness, proximity, boosted_hybrid, search_hits, semantic_hits, parse_date, reconcile_year, split_csv, id_collision, append_rebuild, next_id, cardinality_guard)}
+QUERIES = {f.__name__: f for f in (tokenize_counts, bm25_term_stats, bm25_section_stats, bm25_topk, bm25_weighted_sections, filter_court, filter_tag, filter_article, filter_year, filter_listing, stats, list_tags, unique_cases, case_groups, duplicate_groups, dedup_leader, get_case, section_presence, snippet, embedding_text, query_hash, l2_normalize, cosine_topk, find_similar, candidate_union, rrf_hybrid, freshness, proximity, boosted_hybrid, search_hits, semantic_hits, explain_scores, cache_lookup, adjacent_pairs, parse_date, reconcile_year, split_csv, id_collision, append_rebuild, next_id, cardinality_guard)}
 
 ORACLES = {**_SQL, "append_rebuild": _SQL["bm25_section_stats"]}
