@@ -43,6 +43,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/docloom/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its store's scheme, for readers that do not know the cluster's default one."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return str(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString())
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage with a table in the shared folder: lost executors cost no recomputation."""
     path = scratch(df.sparkSession, name)

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lean, scratch, table, width, written
+from .common import lean, qualified, scratch, table, width, written
 
 MAGIC, INDEX_MAGIC, VERSION = b"DLTK", b"DLIX", 1
 HEAD = 8
@@ -213,7 +213,7 @@ class TokenStore:
     @classmethod
     def write(cls, docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", end_id: int = 0, uri: str | None = None) -> TokenStore:
         spark = docs.sparkSession
-        uri = uri or scratch(spark, "tokens")
+        uri = qualified(spark, uri or scratch(spark, "tokens"))
         fs, root = _open(uri)
         fs.create_dir(root, recursive=True)
         tokenizer = spark.sparkContext.broadcast(open(tokenizer_path, encoding="utf-8").read())
