@@ -126,3 +126,10 @@ def migrate_years(docs: DataFrame) -> DataFrame:
     return d.withColumn("new_year", new).withColumn("sign", sign)
 
 
+
+
+def embedding_meta(docs: DataFrame) -> DataFrame:
+    """One row: documents to embed, and the mean length of their texts, rounded down."""
+    c = lambda n: F.col(f"sections.{n}")
+    body = text.embedding_text(F.col("title"), c("vs_position"), c("fabula"), c("residual"), F.col("text"))
+    return docs.agg(F.count("*").alias("n_texts"), F.floor(F.avg(F.length(body))).cast("long").alias("mean_length"))

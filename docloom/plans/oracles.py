@@ -99,6 +99,7 @@ ORACLES = {
     "section_presence": sql(DOCS, then="SELECT count(*) AS n_docs, count(*) FILTER (fabula <> '') AS with_fabula, CAST(0 AS BIGINT) AS with_lower_courts, count(*) FILTER (vs <> '') AS with_vs_position, count(*) FILTER (residual <> '' AND fabula = '' AND vs = '') AS residual_only FROM d"),
     "snippet": sql(DOCS, SNIPPET, then="SELECT doc_idx, CASE WHEN length(b) <= 250 THEN b WHEN back > 0 AND 250 - back > 125 THEN substr(b, 1, 251 - back) ELSE h || '...' END AS snippet FROM s1"),
     "embedding_text": sql(DOCS, then="SELECT doc_idx, concat_ws(chr(10), nullif(title, ''), CASE WHEN vs <> '' THEN 'Позиция ВС: ' || vs END, CASE WHEN fabula <> '' THEN 'Фабула: ' || fabula END, CASE WHEN vs = '' AND fabula = '' THEN nullif(substr(coalesce(nullif(residual, ''), text), 1, 8000), '') END) AS embedding_text FROM d"),
+    "embedding_meta": sql(DOCS, then="SELECT count(*) AS n_texts, CAST(floor(avg(length(concat_ws(chr(10), nullif(title, ''), CASE WHEN vs <> '' THEN 'Позиция ВС: ' || vs END, CASE WHEN fabula <> '' THEN 'Фабула: ' || fabula END, CASE WHEN vs = '' AND fabula = '' THEN nullif(substr(coalesce(nullif(residual, ''), text), 1, 8000), '') END)))) AS BIGINT) AS mean_length FROM d"),
     "query_hash": "SELECT item_id, sha256(regexp_replace(trim(lower(text), ' ' || chr(9) || chr(10) || chr(13)), '\\s+', ' ', 'g')) AS key FROM benchmark",
     "l2_normalize": "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * 3 * CAST(x AS DOUBLE) * 3))), 5) AS norm_before, CAST(1.0 AS DOUBLE) AS norm_after FROM embeddings",
     "cosine_topk": sql(DOCS, _Q, SEM, then=_top("semp")),

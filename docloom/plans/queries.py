@@ -125,6 +125,10 @@ def embedding_text(s, d):
     return _docs(s, d).select("doc_idx", text.embedding_text(F.col("title"), c("vs_position"), c("fabula"), c("residual"), F.col("text")).alias("embedding_text"))
 
 
+def embedding_meta(s, d):
+    return index.embedding_meta(_docs(s, d))
+
+
 def query_hash(s, d):
     return s.read.parquet(f"{d}/benchmark.parquet").select("item_id", text.query_key(F.col("text")).alias("key"))
 
@@ -251,6 +255,6 @@ def cardinality_guard(s, d):
     return cardinality_gap(_docs(s, d), fixture.vectors(s, d))
 
 
-QUERIES = {f.__name__: f for f in (tokenize_counts, bm25_term_stats, bm25_section_stats, bm25_topk, bm25_weighted_sections, filter_court, filter_tag, filter_article, filter_year, filter_listing, stats, list_tags, unique_cases, case_groups, duplicate_groups, dedup_leader, get_case, section_presence, snippet, embedding_text, query_hash, l2_normalize, cosine_topk, find_similar, candidate_union, rrf_hybrid, freshness, proximity, boosted_hybrid, search_hits, semantic_hits, explain_scores, cache_lookup, adjacent_pairs, parse_date, reconcile_year, split_csv, id_collision, append_rebuild, next_id, cardinality_guard)}
+QUERIES = {f.__name__: f for f in (tokenize_counts, bm25_term_stats, bm25_section_stats, bm25_topk, bm25_weighted_sections, filter_court, filter_tag, filter_article, filter_year, filter_listing, stats, list_tags, unique_cases, case_groups, duplicate_groups, dedup_leader, get_case, section_presence, snippet, embedding_text, embedding_meta, query_hash, l2_normalize, cosine_topk, find_similar, candidate_union, rrf_hybrid, freshness, proximity, boosted_hybrid, search_hits, semantic_hits, explain_scores, cache_lookup, adjacent_pairs, parse_date, reconcile_year, split_csv, id_collision, append_rebuild, next_id, cardinality_guard)}
 
 ORACLES = {**_SQL, "append_rebuild": _SQL["bm25_section_stats"]}

@@ -79,7 +79,10 @@ def read_digest(spark: SparkSession, path: str, start_id: int = 1) -> DataFrame:
         F.array_sort(F.collect_list(F.when(inside, F.struct("n", "line")))).alias("body"),
     )
     text = X.collapse_lines(X.strip(F.array_join(F.transform("body", lambda x: x["line"]), "\n")))
-    numbered = case.withColumn("id", (F.row_number().over(W.orderBy("file", "n")) + (start_id - 1)).cast("long"))
+    # ids run through the files in order: only one row a file meets in one place
+    files_ = case.groupBy("file").agg(F.count("*").alias("c")).withColumn("before", F.coalesce(F.sum("c").over(W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    place = F.row_number().over(W.partitionBy("file").orderBy("n"))
+    numbered = case.withColumn("place", place).join(files_.select("file", "before"), "file").withColumn("id", (F.col("place") + F.col("before") + (start_id - 1)).cast("long"))
     return numbered.select("id", "court", "date", "title", F.col("Реквизиты").alias("case_number"), text.alias("text"), X.clean_hashtags(X.split_csv(F.col("Теги"))).alias("hashtags"), X.split_csv(F.col("Нормы")).alias("articles"), X.channel(F.col("Источник")).alias("source_channel"))
 
 
