@@ -57,7 +57,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("word_bpe_49k.json")
-    found = bpe.decode(bpe.encode(docs, path, keep=("doc_id", "lang", "source")), path)
+    found = bpe.encode(docs, path, keep=("doc_id", "lang", "source"), decoded=True)
     return found.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import lean, plus, table, width
 
-BLOCK_BYTES = 10 << 20
+BLOCK_BYTES = 6 << 20
 
 
 def load_tokenizer(tokenizer_json: str):
@@ -93,8 +93,9 @@ def _blocks(batches):
         yield (part << 24) + seq, held
 
 
-def encode(docs: DataFrame, tokenizer_path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns and ids array<int>."""
+def encode(docs: DataFrame, tokenizer_path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), decoded: bool = False) -> DataFrame:
+    """The kept columns and ids array<int>; with ``decoded``, also the text that they decode to, joined in the same
+    task (as decode() does for a table of ids)."""
     tokenizer_json = open(tokenizer_path, encoding="utf-8").read()
     if not spans_no_blank(tokenizer_json):
         raise ValueError("the tokenizer keeps white space in its tokens: words cannot be encoded one by one")
@@ -148,11 +149,12 @@ def encode(docs: DataFrame, tokenizer_path: str, text: str = "text", keep: tuple
 
     def ship(batches):
         for block, rows in _blocks(batches):
-            packed = [_Packer.pack(b) for b in rows]
-            yield pa.RecordBatch.from_arrays([pa.array([block] * len(packed), pa.int64()), pa.array([1] * len(packed), pa.int8()), pa.array(packed, pa.binary())], names=["block", "kind", "blob"])
+            for b in rows:
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([1], pa.int8()), pa.array([_Packer.pack(b)], pa.binary())], names=["block", "kind", "blob"])
 
     def join(batches):
         unpress, tok = zstandard.ZstdDecompressor(), None
+        pieces = Pieces(held.value) if decoded else None
         known: dict[str, bytes] = {}
         last = None
         for b in batches:
@@ -173,8 +175,8 @@ def encode(docs: DataFrame, tokenizer_path: str, text: str = "text", keep: tuple
                         at = end
                     continue
                 for rows in _Packer.unpack(blob.as_py()).to_batches():
-                    for i in range(0, rows.num_rows, 512):
-                        some = rows.slice(i, 512)
+                    for i in range(0, rows.num_rows, 128):
+                        some = rows.slice(i, 128)
                         split = [words_of(t) if t else [] for t in some.column(0).to_pylist()]
                         try:
                             ids = [b"".join([known[w] for w in ws]) for ws in split]
@@ -186,44 +188,56 @@ def encode(docs: DataFrame, tokenizer_path: str, text: str = "text", keep: tuple
                             ids = [b"".join([known[w] for w in ws]) for ws in split]
                         offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype("i4")
                         values = pa.array(np.frombuffer(b"".join(ids), "<i4"), pa.int32())
-                        yield pa.RecordBatch.from_arrays([*some.columns[1:-1], pa.ListArray.from_arrays(pa.array(offsets), values)], names=[*keep, "ids"])
+                        found = pa.ListArray.from_arrays(pa.array(offsets), values)
+                        more = [pieces.texts(found)] if decoded else []
+                        yield pa.RecordBatch.from_arrays([*some.columns[1:-1], found, *more], names=[*keep, "ids", *["decoded"] * decoded])
 
     asked = source.select("_text", "_part").mapInArrow(lean(ask), "part int, block long, blob binary")
     answered = asked.repartition(n, "part").sortWithinPartitions("part").mapInArrow(lean(answer), "block long, kind byte, blob binary")
     shipped = source.mapInArrow(lean(ship), "block long, kind byte, blob binary")
-    return answered.unionByName(shipped).repartition(n, "block").sortWithinPartitions("block", "kind").mapInArrow(lean(join), plus(source.drop("_text", "_part").schema, "ids array<int>"))
+    return answered.unionByName(shipped).repartition(n, "block").sortWithinPartitions("block", "kind").mapInArrow(lean(join), plus(source.drop("_text", "_part").schema, "ids array<int>" + ", decoded string" * decoded))
+
+
+class Pieces:
+    """The id-to-piece table of a tokenizer, and the texts that rows of ids decode to (special tokens kept)."""
+
+    def __init__(self, tokenizer_json: str):
+        tok = load_tokenizer(tokenizer_json)
+        decoder = json.loads(tokenizer_json).get("decoder")
+        if decoder is not None and decoder.get("type") != "ByteLevel":
+            raise ValueError(f"decoder {decoder.get('type')} is not supported")
+        piece = [tok.id_to_token(i) for i in range(tok.get_vocab_size(with_added_tokens=True))]
+        self.bytewise = decoder is not None
+        if self.bytewise:
+            printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+            rest = [x for x in range(256) if x not in printable]
+            byte = {chr(x): x for x in printable} | {chr(256 + i): x for i, x in enumerate(rest)}
+            piece = [bytes(byte[c] for c in p) if all(c in byte for c in p) else p.encode() for p in piece]
+        self.table = pa.array(piece, pa.binary() if self.bytewise else pa.string())
+
+    def texts(self, ids: pa.ListArray) -> pa.Array:
+        ids = pc.fill_null(ids, pa.scalar([], ids.type))
+        ends = np.concatenate([[0], np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False))]).astype("i4")
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), self.table.take(ids.flatten())), b"" if self.bytewise else " ")
+        if self.bytewise:
+            joined = pa.array([x.as_py().decode("utf-8", "replace") for x in joined], pa.string())
+        return joined
 
 
 def decode(tokens: DataFrame, tokenizer_path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
     """tokens and the decoded text of each row's ids (special tokens kept)."""
     tokenizer_json = open(tokenizer_path, encoding="utf-8").read()
-    tok = load_tokenizer(tokenizer_json)
-    decoder = json.loads(tokenizer_json).get("decoder")
-    if decoder not in (None,) and decoder.get("type") != "ByteLevel":
-        raise ValueError(f"decoder {decoder.get('type')} is not supported")
-    pieces = [tok.id_to_token(i) for i in range(tok.get_vocab_size(with_added_tokens=True))]
-    held = tokens.sparkSession.sparkContext.broadcast(pieces)
+    Pieces(tokenizer_json)  # refuses a decoder that it does not know
+    held = tokens.sparkSession.sparkContext.broadcast(tokenizer_json)
     at = tokens.columns.index(ids)
     schema = plus(tokens.schema, f"{into} string")
 
     def run(batches):
-        piece = held.value
-        if decoder is not None:
-            printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-            rest = [x for x in range(256) if x not in printable]
-            byte = {chr(x): x for x in printable} | {chr(256 + i): x for i, x in enumerate(rest)}
-            piece = [bytes(byte[c] for c in p) if all(c in byte for c in p) else p.encode() for p in piece]
-        table = pa.array(piece, pa.string() if decoder is None else pa.binary())
+        pieces = Pieces(held.value)
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 some = b.slice(i, 256)
-                ids = pc.fill_null(some.column(at), pa.scalar([], some.column(at).type))
-                ends = np.concatenate([[0], np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False))]).astype("i4")
-                pieces = pa.ListArray.from_arrays(pa.array(ends), table.take(ids.flatten()))
-                texts = pc.binary_join(pieces, " " if decoder is None else b"")
-                if decoder is not None:
-                    texts = pa.array([x.as_py().decode("utf-8", "replace") for x in texts], pa.string())
-                yield pa.RecordBatch.from_arrays([*some.columns, texts], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*some.columns, pieces.texts(some.column(at))], names=schema.names)
 
     return tokens.mapInArrow(lean(run), schema)
 
@@ -231,6 +245,5 @@ def decode(tokens: DataFrame, tokenizer_path: str, ids: str = "ids", into: str =
 def op5_bpe_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    path = public_tokenizers.path("word_bpe_49k.json")
-    found = decode(encode(table(spark, sf_dir, "documents"), path), path)
+    found = encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), decoded=True)
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

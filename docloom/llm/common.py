@@ -19,7 +19,7 @@ BROADCAST_BYTES = 32 << 20
 
 
 #: Rows of an Arrow batch: texts are long, and a worker holds a batch or two.
-BATCH_ROWS = 1_000
+BATCH_ROWS = 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -50,8 +50,8 @@ N = 5
 #: The threshold as a fraction of integers: similar when DEN * intersection >= NUM * union.
 NUM, DEN = 80, 100
 BAND = 1.4
-CHUNK = 4096
-MEMO = 200_000
+CHUNK = 2048
+MEMO = 100_000
 SIG_BITS = 40
 
 #: Cost model: of writing one signature, of one chance meeting, how fast meetings fall a shingle, and of an
@@ -277,6 +277,7 @@ def _signed(docs: DataFrame, key: str, text: str, n: int, num: int, den: int) ->
 
         def entries():
             sig, uid, size, least, floor = (np.concatenate(x) for x in zip(*got, strict=True))
+            got.clear()
             order = np.lexsort((uid, sig))
             sig, uid, size, least, floor = sig[order], uid[order], size[order], least[order], floor[order]
             new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (uid[1:] != uid[:-1])])
