@@ -39,7 +39,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -211,9 +211,14 @@ def _unpack(raw: bytes) -> tuple[np.ndarray, ...]:
     return sig, uid[doc], size[doc], least[doc], floor[doc]
 
 
+def _mark(text: str) -> Column:
+    """A text's hash: with the key, which may be null, it finds a row again."""
+    return F.xxhash64(F.col(text).cast("binary"))
+
+
 def _signed(docs: DataFrame, key: str, text: str, n: int, num: int, den: int) -> DataFrame:
-    """One pass over the texts. Rows of kind 0: key, uid (the set's hash; null: empty set) and n_shingles of
-    every document; of kind 1: entries (sig, uid, n_shingles, least, and the same of the signature's first class) of signatures
+    """One pass over the texts. Rows of kind 0: key, mark (the text's hash), uid (the set's hash; null: empty set) and
+    n_shingles of every document; of kind 1: entries (sig, uid, n_shingles, least, and the same of the signature's first class) of signatures
     that two sets share."""
     parts = width(docs)
     kind = docs.schema[key].dataType
@@ -235,9 +240,9 @@ def _signed(docs: DataFrame, key: str, text: str, n: int, num: int, den: int) ->
             ends = np.searchsorted(part[order], np.arange(parts + 1))
             out = [(p, _pack(sig[o], doc[o], uid, size, least, floor, press)) for p in range(parts) if len(o := order[ends[p] : ends[p + 1]])]
             k = len(out)
-            return pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int32()), pa.array([1] * k, pa.int8()), pa.nulls(k, key_type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array([x for _, x in out], pa.binary())], names=names)
+            return pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int32()), pa.array([1] * k, pa.int8()), pa.nulls(k, key_type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array([x for _, x in out], pa.binary())], names=names)
 
-        names = ["part", "kind", "key", "uid", "n_shingles", "blob"]
+        names = ["part", "kind", "key", "mark", "uid", "n_shingles", "blob"]
         sizes: list[tuple[int, int, int]] = []
         key_type = None
         for b in batches:
@@ -263,14 +268,14 @@ def _signed(docs: DataFrame, key: str, text: str, n: int, num: int, den: int) ->
                     sizes.clear()
                     known.clear()
             k = len(uids)
-            yield pa.RecordBatch.from_arrays([pa.array((np.arange(k) + turn) % parts, pa.int32()), pa.array([0] * k, pa.int8()), b.column(1), pa.array(uids, pa.int64()), pa.array(counts, pa.int64()), pa.nulls(k, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array((np.arange(k) + turn) % parts, pa.int32()), pa.array([0] * k, pa.int8()), b.column(1), b.column(2), pa.array(uids, pa.int64()), pa.array(counts, pa.int64()), pa.nulls(k, pa.binary())], names=names)
             turn += k
         if held:
             yield flush()
 
     def share(batches):
         unpress = zstandard.ZstdDecompressor()
-        names = ["kind", "key", "uid", "n_shingles", "least", "floor", "sig", "b_uid", "b_n", "b_least"]
+        names = ["kind", "key", "mark", "uid", "n_shingles", "least", "floor", "sig", "b_uid", "b_n", "b_least"]
         got: list = []
         at = None
         key_type = None
@@ -291,16 +296,16 @@ def _signed(docs: DataFrame, key: str, text: str, n: int, num: int, den: int) ->
                 r = many[a : a + 50_000]
                 o = other[r]
                 k = len(r)
-                yield pa.RecordBatch.from_arrays([pa.array([1] * k, pa.int8()), pa.nulls(k, key_type), pa.array(uid[r]), pa.array(size[r]), pa.array(least[r]), pa.array(floor[r]), pa.array((np.int64(at) << 40) + sig[r].astype("i8")), pa.array(uid[o]), pa.array(size[o]), pa.array(least[o])], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array([1] * k, pa.int8()), pa.nulls(k, key_type), pa.nulls(k, pa.int64()), pa.array(uid[r]), pa.array(size[r]), pa.array(least[r]), pa.array(floor[r]), pa.array((np.int64(at) << 40) + sig[r].astype("i8")), pa.array(uid[o]), pa.array(size[o]), pa.array(least[o])], names=names)
 
         for b in batches:
             key_type = b.column(2).type
             plain = b.filter(pc.equal(b.column(1), 0))
             if plain.num_rows:
                 k = plain.num_rows
-                yield pa.RecordBatch.from_arrays([plain.column(1), plain.column(2), plain.column(3), plain.column(4), *[pa.nulls(k, pa.int64())] * 6], names=names)
+                yield pa.RecordBatch.from_arrays([plain.column(1), plain.column(2), plain.column(3), plain.column(4), plain.column(5), *[pa.nulls(k, pa.int64())] * 6], names=names)
             packed = b.filter(pc.equal(b.column(1), 1))
-            for p, blob in zip(packed.column(0).to_pylist(), packed.column(5), strict=True):
+            for p, blob in zip(packed.column(0).to_pylist(), packed.column(6), strict=True):
                 if p != at and got:
                     yield from entries()
                     got.clear()
@@ -310,17 +315,20 @@ def _signed(docs: DataFrame, key: str, text: str, n: int, num: int, den: int) ->
             yield from entries()
 
     k = kind.simpleString()
-    source = docs.select(F.col(text).cast("binary").alias("_text"), F.col(key).alias("_key"))
-    packed = source.mapInArrow(lean(sign), f"part int, kind byte, key {k}, uid long, n_shingles long, blob binary")
-    return packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(lean(share), f"kind byte, key {k}, uid long, n_shingles long, least long, floor long, sig long, b_uid long, b_n long, b_least long")
+    source = docs.select(F.col(text).cast("binary").alias("_text"), F.col(key).alias("_key"), _mark(text).alias("_mark"))
+    packed = source.mapInArrow(lean(sign), f"part int, kind byte, key {k}, mark long, uid long, n_shingles long, blob binary")
+    return packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(lean(share), f"kind byte, key {k}, mark long, uid long, n_shingles long, least long, floor long, sig long, b_uid long, b_n long, b_least long")
 
 
 def _texts(wanted: DataFrame, members: DataFrame, docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
     """uid, text: the text of one document of each wanted class (uid, distinct)."""
-    chosen = written(members.join(wanted, "uid", "left_semi").groupBy("uid").agg(F.min("key").alias("_key")), "join-wanted")
-    rows = chosen.count()
-    # of documents with the same key the one whose text has the class's set is taken
-    texts = docs.select(F.col(key).alias("_key"), F.col(text).cast("binary").alias("_text")).join(maybe_broadcast(chosen, rows, 32), "_key")
+    one = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "mark")).alias("one")
+    chosen = members.join(wanted, "uid", "left_semi").groupBy("uid").agg(one)
+    chosen = written(chosen.select("uid", F.col("one.key").alias("_key"), F.col("one.mark").alias("_mark")), "join-wanted")
+    few = maybe_broadcast(chosen, chosen.count(), 40)
+    rows = docs.select(F.col(key).alias("_key"), _mark(text).alias("_mark"), F.col(text).cast("binary").alias("_text"))
+    # of documents with the same key and mark the one whose text has the class's set is taken
+    texts = rows.join(few, (rows["_mark"] == few["_mark"]) & rows["_key"].eqNullSafe(few["_key"]))
 
     def own(batches):
         hasher = Hasher(n)
@@ -446,7 +454,7 @@ def _pairs(mixed: DataFrame, num: int, den: int) -> DataFrame:
 def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, num: int = NUM, den: int = DEN) -> DataFrame:
     """key, n_shingles, class_id (hash of the set), component_id (smallest key reachable by links)."""
     all_rows = written(_signed(docs, key, text, n, num, den), "join-signed")
-    members = all_rows.where("kind = 0").select("key", "uid", "n_shingles")
+    members = all_rows.where("kind = 0").select("key", "mark", "uid", "n_shingles")
     entries = all_rows.where("kind = 1").select("uid", F.col("n_shingles").alias("n"), "least", "floor", "sig", "b_uid", "b_n", "b_least")
 
     # every class with the partner of most common signatures

@@ -115,6 +115,14 @@ def test_join_of_edited_copies(spark, monkeypatch):
     assert len({c for _, c in want.values()}) > 20 and max(Counter(c for _, c in want.values()).values()) > 20
 
 
+def test_join_through_rows_without_a_key(spark):
+    """Two documents that only one with a null key links, and copies of null keys alone."""
+    words = [f"w{i}" for i in range(100)]
+    texts = [" ".join(words[a:z]) for a, z in ((0, 90), (5, 95), (14, 100))] + ["other words " + " ".join(words[::-1])] * 2
+    got = ngram_join.jaccard_join(docs(spark, texts, [1, None, 2, None, None])).collect()
+    assert sorted((str(r.doc_id), str(r.component_id)) for r in got) == [("1", "1"), ("2", "1"), ("None", "1"), ("None", "None"), ("None", "None")]
+
+
 def test_join_signatures_find_every_similar_pair():
     """The pigeonhole itself: any similar pair has a signature in common, and as many as promised."""
     rnd = np.random.default_rng(5)
