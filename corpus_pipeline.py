@@ -13,18 +13,23 @@ from pyspark.sql import functions as F
 from docloom.llm import bpe, decontamination, language_id, ngram_join, pii
 from docloom.llm.common import maybe_broadcast, table, written
 
-#: A document stays if one language explains at least this share of its text.
+#: A document stays if the languages found in it together explain at least this share of its text, the background
+#: the rest; within this many standard errors of the share, as a short text has few trigrams to tell it from.
 LEAST_SHARE = 0.3
+ERRORS = 2
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts in no known language: null texts, texts without a letter, and texts of which the background
-    explains most. A missing language label is filled in. Without labels nothing can be learned, and all stay."""
+    explains more than 1 - LEAST_SHARE, however many languages share the rest. A missing language label is filled in. Without labels nothing can be learned, and all stay."""
     model = language_id.fit(docs.where(language_id.fold(F.col("doc_id"), 4) != 2))
     if not model.languages:
         return docs
     rows = docs.select(F.struct(*docs.columns).alias("_doc"), "text")
-    found = language_id.identify(rows, model, keep=("_doc",)).where((F.col("lang_pred") != language_id.UND) & (F.col("score") >= LEAST_SHARE))
+    found = language_id.identify(rows, model, keep=("_doc",)).where(F.col("lang_pred") != language_id.UND)
+    known = F.least(F.lit(1.0), F.aggregate("languages", F.lit(0.0), lambda s, x: s + x["share"]))
+    n = F.greatest(F.lit(1), F.length(F.trim(F.regexp_replace("_doc.text", r"\P{L}+", " "))))
+    found = found.where((known >= LEAST_SHARE) | (known + ERRORS * F.sqrt(known * (1 - known) / n) >= LEAST_SHARE))
     return found.select("_doc.*", F.col("lang_pred").alias("_lang")).withColumn("lang", F.coalesce("lang", "_lang")).select(*docs.columns)
 
 

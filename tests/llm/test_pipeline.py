@@ -53,6 +53,18 @@ def test_stages(spark, sf):
     assert set(rows["bpe"]) == set(rows["pii"]) and all(r.n_tokens == len(r.ids) for r in rows["bpe"].values())
 
 
+def test_language_keeps_a_text_in_four_languages(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    texts: dict = {}
+    for r in docs.orderBy("doc_id").collect():
+        if r.lang and r.text:
+            texts[r.lang] = texts.get(r.lang, "") + " " + r.text
+    four = " ".join(texts[x][:600] for x in ("de", "en", "es", "fr"))
+    more = spark.createDataFrame([(10**9, four, None, "s", len(four)), (10**9 + 1, "xqzj wvkp qqzx zzkw " * 30, None, "s", 600)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in cp.language(spark, docs.select(*more.columns).unionByName(more), sf).select("doc_id").collect()}
+    assert 10**9 in kept and 10**9 + 1 not in kept
+
+
 def test_odd_rows_and_clashing_columns(spark, sf):
     docs = spark.createDataFrame([(1, "the same text of six words", "en", "s", 1, 5, "x"), (1, "the same text of six words", "en", "s", 1, 5, "x"), (2, "The same text of six words", None, None, None, None, None), (None, "the same text of six words", "en", "s", 1, 1, "y"), (3, None, "en", "s", 1, 1, "y"), (4, "", "en", "s", 1, 1, "y"), (5, "call +1 (234) 555-1234 or the other one", "en", "s", 1, 1, "y")], "doc_id long, text string, lang string, source string, n_chars long, score int, spans string")
     out = run_stages(spark, docs, sf)
