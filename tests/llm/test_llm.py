@@ -276,6 +276,25 @@ def test_ann_copies(spark):
     assert [r.vec_id for r in got] == [1, 2, 3, 4, 5] and all(abs(r.score - 1) < 1e-12 for r in got)
 
 
+def test_ann_hot_near_copies(spark):
+    """A third of the vectors are near copies of one, closer than 8-bit steps tell apart."""
+    rnd = np.random.default_rng(1)
+    x = rnd.standard_normal((3000, 32))
+    x[:1000] = x[0] + 1e-4 * rnd.standard_normal((1000, 32))
+    x = x.astype(np.float32)
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<float>")
+    got: dict = {}
+    for r in ann.nearest(df, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    y = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    hits = []
+    for q in range(0, 3000, 20):
+        s = y @ y[q]
+        s[q] = -2
+        hits.append(len(set(np.argsort(-s)[:5].tolist()) & got[q]))
+    assert sum(hits[:50]) / 250 >= 0.9 and sum(hits[50:]) / 500 >= 0.9
+
+
 def test_language_held_out(spark):
     sf = "/root/testdata/sf0.01"
     lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").collect()}
