@@ -3,26 +3,33 @@
 A document is its set of distinct word shingles. Sizes fall into bands; a pair belongs to the band of
 its larger set, and a set takes part in each band that a partner of up to size / threshold can have.
 In a band whose largest set has h shingles a similar pair differs in at most H = floor(2 h (1 - t) /
-(1 + t)) shingles. The shingle universe is hashed into segments. A segment may be indexed as it is (it
-then finds pairs that agree in it: it uses up 1 of the H differences) or with its one-deletion
-neighbourhood (it finds pairs that differ in it by one shingle: 2). Whenever the allowances add up to
-H + 1, some segment of every similar pair is found. Per band, a cost model (``allocation``) weighs the
-number of signatures against the pairs that short signatures would let meet by chance.
+(1 + t)) shingles. The shingle universe is hashed into segments, and a segment into cells. A segment's
+signatures are its subsets of all cells but one: its one-deletion neighbourhood, cell by cell. Two sets
+that differ in one shingle of a segment, or only within one cell, agree in the subset without it, so a
+segment uses up 2 of the H differences, and some floor(H / 2) + 1 segments are enough. With one cell the
+signature is the whole segment, which uses up 1. ``allocation`` chooses segments and cells per band by
+cost: signatures written against the chance meetings that short subsets bring.
+
+Subsets of few shingles meet by chance, so each set leaves out those of fewer than q, with the largest q for
+which it still has as many full segments (all subsets of at least q) as it needs. That loses nothing: of
+a similar pair take the set of the larger q; one of its full segments has at most one difference, and the subset
+that both have there has at least that q, so that the other set writes it too.
 
 Signatures are packed by hash part with numpy, and only those that two different sets share are kept.
-Equal sets are one class from the start, so copies cost one entry a task and hash part. The links are
-then found in two rounds:
+Equal sets are one class from the start (128-bit hash of the set), so copies cost one entry a task and
+hash part. The links are then found among classes:
 
-1. every class is put together with one partner, the one of most shared signatures among each signature's
-   first class;
-2. classes that then share a signature but not a component are put together: all of a crowded signature, and
-   of the others each pair that shares as many signatures as similar sets must (all but H of the larger's
-   filled segments). A pair without a crowded signature has all its common ones there, so its count is whole.
+1. every class is compared with one partner, the one of most shared signatures among each signature's
+   first class; what is similar is one component from then on;
+2. in up to ``STARS`` more rounds, signatures that several components share draw a class each, and every class
+   is compared with the drawn one of another component with which it shares most;
+3. what signatures still share across components is compared whole. A pair has at least the smaller of
+   two promised numbers of common signatures, so a class keeps only its rarest ones, as many as leave no
+   pair without a common one. Classes that share one of them meet as pairs, or, where more than ``CROWD`` share
+   it, block by block in tasks that write no pairs, only links that join components.
 
-Classes that are put together meet block by block, in tasks that write no pairs, only links that join
-components, so a group of k near copies writes about k rows.
-
-Checks are exact, on the shingles of the texts themselves. No cap is set on candidates or partners.
+Only verified links make components; candidates never do. Checks are exact, on the shingles of the texts
+themselves. No cap is set on candidates or partners.
 
 Defined results: a null text, or one without words, has an empty set, links with nothing and is its own
 component; fewer words than ``n`` are one shingle; repeated rows and null keys are each reported, null
@@ -50,17 +57,20 @@ N = 5
 #: The threshold as a fraction of integers: similar when DEN * intersection >= NUM * union.
 NUM, DEN = 80, 100
 BAND = 1.4
-CHUNK = 2048
+CHUNK = 1024
 MEMO = 100_000
 SIG_BITS = 40
 
-#: Cost model: of writing one signature, of one chance meeting, how fast meetings fall a shingle, and of an
-#: empty segment where it must be a signature, which many sets share.
-SIGNATURE_COST, MEETING_COST, MEETING_DECAY, EMPTY_COST = 1.0, 8.0, 0.35, 5000.0
-SLACK = 1.4
+#: Cost model, in signatures written: of one chance meeting, and how fast meetings fall a shingle of a subset. The
+#: weights are those of a corpus of some 1e9 documents; on the test tables (5e4 documents) 10 % of the
+#: subsets of one shingle are shared, 7 % of those of three, and 5 % of any length, by true copies.
+MEETING_COST, MEETING_DECAY = 60.0, 0.2
+MOST_CELLS = 8
+SLACK = 1.2
 #: A signature that more classes of several components share is crowded; CELL: classes of a block.
 CROWD = 48
 CELL = 1024
+STARS = 3
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _U = np.uint64
@@ -134,81 +144,89 @@ def most_different(size: int, num: int = NUM, den: int = DEN) -> int:
 
 
 @lru_cache(maxsize=None)
-def allocation(band: int, num: int = NUM, den: int = DEN) -> tuple[int, int, int]:
-    """Segments, how many of them (the first) carry one-deletion neighbourhoods, and H + 1.
+def allocation(band: int, num: int = NUM, den: int = DEN) -> tuple[int, int, int, int]:
+    """Segments, cells of each, how many segments must be full, and the most differences of a similar pair.
 
-    Without neighbourhoods there are SLACK times H + 1 segments, so that sets need no empty segment."""
+    Sizes of subsets are taken as Poisson. SLACK: segments for each needed one, so that a set may leave out thin ones."""
     lo, hi = band_range(band)
-    need = most_different(hi, num, den) + 1
+    most = most_different(hi, num, den)
     best = None
-    for deep in range((need + 1) // 2 + 1):
-        plain = max(0, need - 2 * deep)
-        if not deep and need > 1:
-            plain = math.ceil(SLACK * need)
-        m = deep + plain
-        size = lo / m
-        cost = plain * (SIGNATURE_COST + MEETING_COST * MEETING_DECAY**size) + deep * (size + 1) * (SIGNATURE_COST + MEETING_COST * MEETING_DECAY ** max(0.0, size - 1))
-        if deep and m > 1:
-            cost += m * math.exp(-size) * EMPTY_COST
+    for cells in range(1, MOST_CELLS + 1):
+        need = most + 1 if cells == 1 else most // 2 + 1
+        segments = math.ceil(SLACK * need) if need > 1 else 1
+        subset = lo / segments * ((cells - 1) / cells if cells > 1 else 1)
+        cost = segments * cells * (1 + MEETING_COST * math.exp(-(1 - MEETING_DECAY) * subset))
         if best is None or cost < best[0]:
-            best = (cost, m, deep)
-    return best[1], best[2], need
+            best = cost, segments, cells, need
+    return *best[1:], most
 
 
-def signatures(h: np.ndarray, num: int = NUM, den: int = DEN) -> tuple[np.ndarray, int, int]:
-    """64-bit signatures of a set in all its bands; how many of them any similar set that is no larger has too (in
-    a band at most H of the set's filled segments differ); and how many any similar set has at all."""
+def signatures(h: np.ndarray, num: int = NUM, den: int = DEN) -> tuple[np.ndarray, int]:
+    """64-bit signatures of a set in all its bands, and the promised number: any similar set has at least the
+    smaller of both sets' numbers in common with it."""
     size = len(h)
     if not size:
-        return np.empty(0, np.uint64), 1, 1
-    least, floor = 1, None
+        return np.empty(0, np.uint64), 1
+    promised = None
     x = _mix(h + _U(0x632BE59BD9B4E019))
     out = []
     for band in range(band_of(size), band_of(size * den // num) + 1):
-        m, deep, need = allocation(band, num, den)
-        seg = ((h >> _U(32)) * _U(m)) >> _U(32)  # ascending, as h is
-        starts = np.flatnonzero(np.concatenate([[True], seg[1:] != seg[:-1]]))
-        ids, sums = seg[starts], np.add.reduceat(x, starts)
-        tag = lambda s, i, b=band: _mix(s + (i + _U(1)) * _U(0x9E3779B97F4A7C15) + _U(b * 0xD6E8FEB86659FD93 & (1 << 64) - 1))
-        out.append(tag(sums, ids))
-        agree = 1 if deep else max(1, len(ids) - need + 1)
-        floor = agree if floor is None else min(floor, agree)
-        if band == band_of(size):
-            least = agree
-        if deep or len(ids) < need:
-            # Empty segments count only where a set fills too few: one with H + 1 filled segments
-            # agrees with any similar set in a filled one.
-            empty = np.setdiff1d(np.arange(m, dtype=np.uint64), ids)
-            out.append(tag(np.zeros(len(empty), np.uint64), empty))
-        if deep:
-            inside = seg < deep
-            per = np.repeat(sums, np.diff(np.append(starts, size)))
-            out.append(tag((per - x)[inside], seg[inside]))
-    return np.unique(np.concatenate(out)), least, floor
-
-
-def _pack(sig: np.ndarray, doc: np.ndarray, uid: np.ndarray, size: np.ndarray, least: np.ndarray, floor: np.ndarray, press) -> bytes:
+        m, cells, need, most = allocation(band, num, den)
+        cell = (((h >> _U(32)) * _U(m * cells)) >> _U(32)).astype(np.int64)
+        n = np.bincount(cell, minlength=m * cells).reshape(m, cells)
+        sums = np.zeros(m * cells, np.uint64)
+        starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))  # ascending, as h is
+        sums[cell[starts]] = np.add.reduceat(x, starts)
+        sums = sums.reshape(m, cells)
+        if cells > 1:
+            n, sums = n.sum(axis=1, keepdims=True) - n, sums.sum(axis=1, keepdims=True) - sums
+        least = np.sort(n.min(axis=1))[::-1]
+        q = least[need - 1]
+        full = int((least >= q).sum())
+        # a difference costs all subsets of its segment but one; a second one in the segment the rest
+        common = (cells * full - (cells - 1) * most if most <= full else 2 * full - most) if cells > 1 else full - most
+        promised = max(1, common if promised is None else min(promised, common))
+        i = np.flatnonzero(n.ravel() >= q)
+        out.append(_mix(sums.ravel()[i] + (i.astype(np.uint64) + _U(1)) * _U(0x9E3779B97F4A7C15) + _U(band * 0xD6E8FEB86659FD93 & (1 << 64) - 1)))
+    return np.unique(np.concatenate(out)), promised
+
+
+def _pack(sig: np.ndarray, doc: np.ndarray, uid: np.ndarray, size: np.ndarray, floor: np.ndarray, press) -> bytes:
     """Signatures in order as differences; the bytes of equal weight stand together."""
     order = np.argsort(sig, kind="stable")
     used, doc = np.unique(doc[order], return_inverse=True)
     d = np.diff(sig[order], prepend=_U(0))
     planes = np.frombuffer(d.astype("<u8").tobytes(), np.uint8).reshape(-1, 8).T[: SIG_BITS // 8]
     head = np.array([len(used), len(d)], "<u4").tobytes()
-    return press.compress(head + uid[used].astype("<u8").tobytes() + size[used].astype("<u4").tobytes() + least[used].astype("<u4").tobytes() + floor[used].astype("<u4").tobytes() + planes.tobytes() + doc.astype("<u2").tobytes())
+    return press.compress(head + uid[used].tobytes() + size[used].astype("<u4").tobytes() + floor[used].astype("<u4").tobytes() + planes.tobytes() + doc.astype("<u2").tobytes())
 
 
 def _unpack(raw: bytes) -> tuple[np.ndarray, ...]:
     docs, n = (int(x) for x in np.frombuffer(raw, "<u4", 2))
-    uid = np.frombuffer(raw, "<u8", docs, 8)
-    size = np.frombuffer(raw, "<u4", docs, 8 + 8 * docs)
-    least = np.frombuffer(raw, "<u4", docs, 8 + 12 * docs)
-    floor = np.frombuffer(raw, "<u4", docs, 8 + 16 * docs)
-    at = 8 + 20 * docs
+    uid = np.frombuffer(raw, _UID, docs, 8)
+    size = np.frombuffer(raw, "<u4", docs, 8 + 16 * docs)
+    floor = np.frombuffer(raw, "<u4", docs, 8 + 20 * docs)
+    at = 8 + 24 * docs
     planes = np.zeros((8, n), np.uint8)
     planes[: SIG_BITS // 8] = np.frombuffer(raw, np.uint8, n * (SIG_BITS // 8), at).reshape(-1, n)
     sig = np.cumsum(np.frombuffer(planes.T.tobytes(), "<u8"), dtype=np.uint64)
     doc = np.frombuffer(raw, "<u2", n, at + n * (SIG_BITS // 8))
-    return sig, uid[doc], size[doc], least[doc], floor[doc]
+    return sig, uid[doc], size[doc], floor[doc]
+
+
+#: A class: the 128-bit hash of its set, in two halves; big-endian, so that they sort as their bytes do.
+_UID = np.dtype([("high", ">u8"), ("low", ">u8")])
+
+
+def _uid(h: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(h.tobytes())
+
+
+def _binary(raw: np.ndarray) -> pa.Array:
+    """16-byte records, in any byte order, as an Arrow binary column."""
+    n = len(raw)
+    at = np.arange(0, 16 * (n + 1), 16, dtype=np.int32)
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(at.tobytes()), pa.py_buffer(raw.astype(_UID).tobytes())])
 
 
 def _mark(text: str) -> Column:
@@ -218,33 +236,35 @@ def _mark(text: str) -> Column:
 
 def _signed(docs: DataFrame, key: str, text: str, n: int, num: int, den: int) -> DataFrame:
     """One pass over the texts. Rows of kind 0: key, mark (the text's hash), uid (the set's hash; null: empty set) and
-    n_shingles of every document; of kind 1: entries (sig, uid, n_shingles, least, and the same of the signature's first class) of signatures
-    that two sets share."""
+    n_shingles of every document; of kind 1: entries (sig, uid, n_shingles, floor, and uid, size and floor of the
+    signature's first class) of signatures that two sets share."""
     parts = width(docs)
     kind = docs.schema[key].dataType
 
     def sign(batches):
         hasher, press = Hasher(n), zstandard.ZstdCompressor(1)
-        held: list[tuple[int, np.ndarray]] = []
-        known: set[int] = set()
+        held: list[tuple[bytes, np.ndarray, int, int]] = []
+        known: set[bytes] = set()
         turn = 0
 
         def flush():
-            sig = np.concatenate([s for _, s in held])
-            doc = np.repeat(np.arange(len(held)), [len(s) for _, s in held])
-            uid = np.array([u for u, _ in held], np.uint64)
-            size, least, floor = (np.array(x, np.uint32) for x in zip(*sizes, strict=True))
+            sig = np.concatenate([x[1] for x in held])
+            doc = np.repeat(np.arange(len(held)), [len(x[1]) for x in held])
+            uid = np.frombuffer(b"".join(x[0] for x in held), _UID)
+            size, floor = (np.array([x[k] for x in held], np.uint32) for k in (2, 3))
+            held.clear()
+            known.clear()
             part = (sig % _U(parts)).astype(np.int32)
             sig = (sig // _U(parts)) & _U((1 << SIG_BITS) - 1)
             order = np.argsort(part, kind="stable")
             ends = np.searchsorted(part[order], np.arange(parts + 1))
-            out = [(p, _pack(sig[o], doc[o], uid, size, least, floor, press)) for p in range(parts) if len(o := order[ends[p] : ends[p + 1]])]
+            out = [(p, _pack(sig[o], doc[o], uid, size, floor, press)) for p in range(parts) if len(o := order[ends[p] : ends[p + 1]])]
             k = len(out)
-            return pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int32()), pa.array([1] * k, pa.int8()), pa.nulls(k, key_type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array([x for _, x in out], pa.binary())], names=names)
+            return pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int32()), pa.array([1] * k, pa.int8()), pa.nulls(k, key_type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int64()), pa.array([x for _, x in out], pa.binary())], names=names)
 
         names = ["part", "kind", "key", "mark", "uid", "n_shingles", "blob"]
-        sizes: list[tuple[int, int, int]] = []
         key_type = None
+        waiting = 0
         for b in batches:
             key_type = b.column(1).type
             uids, counts = [], []
@@ -254,56 +274,66 @@ def _signed(docs: DataFrame, key: str, text: str, n: int, num: int, den: int) ->
                 if not len(h):
                     uids.append(None)
                     continue
-                uid = xxhash.xxh3_64_intdigest(h.tobytes())
-                uids.append(uid - (1 << 64) if uid >> 63 else uid)
+                uid = _uid(h)
+                uids.append(uid)
                 if uid in known:
                     continue
                 known.add(uid)
-                sig, least, floor = signatures(h, num, den)
-                held.append((uid, sig))
-                sizes.append((len(h), least, floor))
-                if len(held) == CHUNK:
+                sig, floor = signatures(h, num, den)
+                held.append((uid, sig, len(h), floor))
+                waiting += len(sig)
+                if len(held) == CHUNK or waiting > 1 << 20:
                     yield flush()
-                    held.clear()
-                    sizes.clear()
-                    known.clear()
+                    waiting = 0
             k = len(uids)
-            yield pa.RecordBatch.from_arrays([pa.array((np.arange(k) + turn) % parts, pa.int32()), pa.array([0] * k, pa.int8()), b.column(1), b.column(2), pa.array(uids, pa.int64()), pa.array(counts, pa.int64()), pa.nulls(k, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array((np.arange(k) + turn) % parts, pa.int32()), pa.array([0] * k, pa.int8()), b.column(1), b.column(2), pa.array(uids, pa.binary()), pa.array(counts, pa.int64()), pa.nulls(k, pa.binary())], names=names)
             turn += k
         if held:
             yield flush()
 
     def share(batches):
         unpress = zstandard.ZstdDecompressor()
-        names = ["kind", "key", "mark", "uid", "n_shingles", "least", "floor", "sig", "b_uid", "b_n", "b_least"]
+        names = ["kind", "key", "mark", "uid", "n_shingles", "floor", "sig", "b_uid", "b_n", "b_floor"]
         got: list = []
         at = None
         key_type = None
 
         def entries():
-            sig, uid, size, least, floor = (np.concatenate(x) for x in zip(*got, strict=True))
+            # What no other signature equals goes first: it needs only the signatures themselves.
+            sigs = np.concatenate([x[0] for x in got])
+            order = np.argsort(sigs, kind="stable")
+            ranked = sigs[order]
+            same = ranked[1:] == ranked[:-1]
+            keep = np.zeros(len(sigs), bool)
+            keep[order] = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+            del order, ranked, same
+            sig = sigs[keep]
+            ends = np.cumsum([len(x[0]) for x in got])
+            picked = [keep[e - len(x[0]) : e] for x, e in zip(got, ends, strict=True)]
+            uid, size, floor = (np.concatenate([x[k][p] for x, p in zip(got, picked, strict=True)]) for k in (1, 2, 3))
             got.clear()
-            order = np.lexsort((uid, sig))
-            sig, uid, size, least, floor = sig[order], uid[order], size[order], least[order], floor[order]
-            new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (uid[1:] != uid[:-1])])
-            sig, uid, size, least, floor = sig[new], uid[new].view("<i8"), size[new].astype("i8"), least[new].astype("i8"), floor[new].astype("i8")
-            first = np.concatenate([[True], sig[1:] != sig[:-1]])
+            order = np.lexsort((uid["low"], uid["high"], sig))
+            sig, uid, size, floor = sig[order], uid[order], size[order].astype("i8"), floor[order].astype("i8")
+            new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (uid[1:] != uid[:-1])])[: len(sig)]
+            sig, uid, size, floor = sig[new], uid[new], size[new], floor[new]
+            first = np.concatenate([[True], sig[1:] != sig[:-1]])[: len(sig)]
             run = np.cumsum(first) - 1
-            many = np.flatnonzero(np.bincount(run)[run] > 1)
+            many = np.flatnonzero(np.bincount(run)[run] > 1) if len(run) else run
             # each class meets the signature's first class, which itself meets the second
-            other = np.flatnonzero(first)[run] + first
-            for a in range(0, len(many), 50_000):
-                r = many[a : a + 50_000]
+            other = np.flatnonzero(first)[run] + first if len(run) else run
+            for a in range(0, len(many), 20_000):
+                r = many[a : a + 20_000]
                 o = other[r]
                 k = len(r)
-                yield pa.RecordBatch.from_arrays([pa.array([1] * k, pa.int8()), pa.nulls(k, key_type), pa.nulls(k, pa.int64()), pa.array(uid[r]), pa.array(size[r]), pa.array(least[r]), pa.array(floor[r]), pa.array((np.int64(at) << 40) + sig[r].astype("i8")), pa.array(uid[o]), pa.array(size[o]), pa.array(least[o])], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array([1] * k, pa.int8()), pa.nulls(k, key_type), pa.nulls(k, pa.int64()), _binary(uid[r]), pa.array(size[r]), pa.array(floor[r]), pa.array((np.int64(at) << 40) + sig[r].astype("i8")), _binary(uid[o]), pa.array(size[o]), pa.array(floor[o])], names=names)
 
         for b in batches:
             key_type = b.column(2).type
             plain = b.filter(pc.equal(b.column(1), 0))
             if plain.num_rows:
                 k = plain.num_rows
-                yield pa.RecordBatch.from_arrays([plain.column(1), plain.column(2), plain.column(3), plain.column(4), plain.column(5), *[pa.nulls(k, pa.int64())] * 6], names=names)
+                nulls = pa.nulls(k, pa.int64())
+                yield pa.RecordBatch.from_arrays([plain.column(1), plain.column(2), plain.column(3), plain.column(4), plain.column(5), nulls, nulls, pa.nulls(k, pa.binary()), nulls, nulls], names=names)
             packed = b.filter(pc.equal(b.column(1), 1))
             for p, blob in zip(packed.column(0).to_pylist(), packed.column(6), strict=True):
                 if p != at and got:
@@ -316,12 +346,12 @@ def _signed(docs: DataFrame, key: str, text: str, n: int, num: int, den: int) ->
 
     k = kind.simpleString()
     source = docs.select(F.col(text).cast("binary").alias("_text"), F.col(key).alias("_key"), _mark(text).alias("_mark"))
-    packed = source.mapInArrow(lean(sign), f"part int, kind byte, key {k}, mark long, uid long, n_shingles long, blob binary")
-    return packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(lean(share), f"kind byte, key {k}, mark long, uid long, n_shingles long, least long, floor long, sig long, b_uid long, b_n long, b_least long")
+    packed = source.mapInArrow(lean(sign), f"part int, kind byte, key {k}, mark long, uid binary, n_shingles long, blob binary")
+    return packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(lean(share), f"kind byte, key {k}, mark long, uid binary, n_shingles long, floor long, sig long, b_uid binary, b_n long, b_floor long")
 
 
 def _texts(wanted: DataFrame, members: DataFrame, docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    """uid, text: the text of one document of each wanted class (uid, distinct)."""
+    """uid, text: the text of one document of each wanted class (uid)."""
     one = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "mark")).alias("one")
     chosen = members.join(wanted, "uid", "left_semi").groupBy("uid").agg(one)
     chosen = written(chosen.select("uid", F.col("one.key").alias("_key"), F.col("one.mark").alias("_mark")), "join-wanted")
@@ -335,14 +365,13 @@ def _texts(wanted: DataFrame, members: DataFrame, docs: DataFrame, key: str, tex
         for b in batches:
             keep = []
             for uid, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                h = xxhash.xxh3_64_intdigest(hasher(t.as_py()).tobytes())
-                keep.append((h - (1 << 64) if h >> 63 else h) == uid)
+                keep.append(_uid(hasher(t.as_py())) == uid)
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    return texts.select("uid", F.col("_text").alias("text")).mapInArrow(lean(own), "uid long, text binary").dropDuplicates(["uid"])
+    return texts.select("uid", F.col("_text").alias("text")).mapInArrow(lean(own), "uid binary, text binary").dropDuplicates(["uid"])
 
 
-def _bridges(ids: list[int], labels: list[int], texts: list[bytes], side: np.ndarray, n: int, num: int, den: int) -> list[tuple[int, int]]:
+def _bridges(ids: list[bytes], labels: list[bytes], texts: list[bytes], side: np.ndarray, n: int, num: int, den: int) -> list[tuple[bytes, bytes]]:
     """Links between the components (labels) of one cell's classes: enough of them to join what is linked.
     side: 0 and 1 are two blocks, which meet; all 2 is one block, which meets itself."""
     hasher = Hasher(n)
@@ -380,19 +409,57 @@ def _bridges(ids: list[int], labels: list[int], texts: list[bytes], side: np.nda
     return out
 
 
-def _met(ties: DataFrame, label: DataFrame, members: DataFrame, docs: DataFrame, key: str, text: str, n: int, num: int, den: int) -> DataFrame:
-    """a, b: links among the classes that ties (a, b) put together. label: node, label of classes that have one.
+def _verified(pairs: DataFrame, members: DataFrame, docs: DataFrame, key: str, text: str, n: int, num: int, den: int) -> DataFrame:
+    """The similar ones of pairs a, b (distinct, written).
 
-    What ties join is a crowd. It is dealt to blocks of about CELL classes by hash, and every two blocks meet in a
-    task of their own, by an index of their shingles. So a class's text is sent once for each block of its crowd
-    (mostly one), no task holds more than two blocks, and no pairs are written, only links that join components."""
-    crowd = written(components(ties), "join-crowds")
-    blocks = crowd.groupBy("label").agg(F.ceil(F.count("*") / F.lit(CELL)).cast("int").alias("blocks"))
-    placed = crowd.join(blocks, "label").select(F.col("node").alias("uid"), F.col("label").alias("crowd"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
-    placed = placed.join(label.select(F.col("node").alias("uid"), "label"), "uid", "left").withColumn("label", F.coalesce("label", "uid"))
-    texts = _texts(placed.select("uid"), members, docs, key, text, n)
-    sent = placed.join(texts, "uid").select("crowd", "uid", "label", "text", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    cells = sent.select("crowd", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"), "uid", "label", "text")
+    A class that many others meet (b) is dealt to blocks of about CELL partners, so that no task holds more than its text
+    and one partner's. Each pair costs one text, each block one more."""
+    texts = written(_texts(pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))).distinct(), members, docs, key, text, n), "join-texts")
+    blocks = written(pairs.groupBy("b").agg(F.ceil(F.count("*") / F.lit(CELL)).cast("int").alias("blocks")), "join-blocks")
+    few = maybe_broadcast(blocks, blocks.count(), 32)
+    own = pairs.join(few, "b").select("b", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int").alias("block"), F.col("a").alias("uid"), F.lit(1).alias("side"))
+    hubs = blocks.select("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("b").alias("uid"), F.lit(0).alias("side"))
+    sent = own.unionByName(hubs).join(texts, "uid").select("b", "block", "side", "uid", "text")
+
+    def judge(batches):
+        hasher, hub, mine, exact = Hasher(n), None, None, None
+        for b in batches:
+            left, right = [], []
+            for u, _, side, v, t in zip(*(c.to_pylist() if i < 4 else c for i, c in enumerate(b.columns)), strict=True):
+                t = t.as_py()
+                if not side:
+                    hub, mine, exact, whole = u, hasher(t), None, t
+                    continue
+                if u != hub:
+                    raise RuntimeError("a pair's text is missing")
+                h = hasher(t)
+                both = len(np.intersect1d(mine, h, assume_unique=True))
+                if den * both < num * (len(mine) + len(h) - both):
+                    continue
+                exact = exact or shingles(whole, n)
+                other = shingles(t, n)
+                both = len(exact & other)
+                if den * both >= num * (len(exact) + len(other) - both):
+                    left.append(u)
+                    right.append(v)
+            if left:
+                yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b"])
+
+    dealt = sent.repartition(width(docs), "b", "block").sortWithinPartitions("b", "block", "side")
+    return dealt.mapInArrow(lean(judge), "a binary, b binary")
+
+
+def _met(crowds: DataFrame, members: DataFrame, docs: DataFrame, key: str, text: str, n: int, num: int, den: int) -> DataFrame:
+    """a, b: links among the classes (uid, with their component's label) of each crowd (sig), enough of them to join
+    what is linked.
+
+    A crowd is dealt to blocks of about CELL classes by hash, and every two blocks meet in a task of their own, by an
+    index of their shingles. So no task holds more than two blocks, and no pairs are written."""
+    blocks = crowds.groupBy("sig").agg(F.ceil(F.count("*") / F.lit(CELL)).cast("int").alias("blocks"))
+    placed = crowds.join(blocks, "sig").select("uid", "sig", "label", "blocks", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int").alias("block"))
+    texts = _texts(placed.select("uid").distinct(), members, docs, key, text, n)
+    sent = placed.join(texts, "uid").select("sig", "uid", "label", "text", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    cells = sent.select("sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"), "uid", "label", "text")
 
     def meet(batches):
         cell, rows = None, []
@@ -400,7 +467,7 @@ def _met(ties: DataFrame, label: DataFrame, members: DataFrame, docs: DataFrame,
         def judged():
             ids, labels, texts_, side = [r[4] for r in rows], [r[5] for r in rows], [r[6] for r in rows], np.array([r[3] for r in rows])
             got = _bridges(ids, labels, texts_, side, n, num, den) if len(set(labels)) > 1 and ((side != 1).any() and (side != 0).any()) else []
-            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.int64()), pa.array([y for _, y in got], pa.int64())], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.binary()), pa.array([y for _, y in got], pa.binary())], names=["a", "b"])
 
         for b in batches:
             for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -412,63 +479,83 @@ def _met(ties: DataFrame, label: DataFrame, members: DataFrame, docs: DataFrame,
         if rows:
             yield judged()
 
-    dealt = cells.repartition(width(docs), "crowd", "i", "j").sortWithinPartitions("crowd", "i", "j")
-    return dealt.mapInArrow(lean(meet), "a long, b long")
+    dealt = cells.repartition(width(docs), "sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+    return dealt.mapInArrow(lean(meet), "a binary, b binary")
 
 
-def _enough(num: int, den: int):
-    """A pair's sizes allow similarity, and it has as many common signatures (c) as its larger set asks for."""
-    larger = F.when(F.col("n") >= F.col("b_n"), F.col("least")).otherwise(F.col("b_least"))
-    return (den * F.least("n", "b_n") >= num * F.greatest("n", "b_n")) & (F.col("c") >= larger)
+def _enough(num: int, den: int) -> Column:
+    """A pair's sizes allow similarity, and it has as many common signatures (c) as were promised."""
+    return (den * F.least("n", "b_n") >= num * F.greatest("n", "b_n")) & (F.col("c") >= F.least("floor", "b_floor"))
 
 
 def _best(met: DataFrame, num: int, den: int) -> DataFrame:
-    """Of each class, the met class (b_uid, b_n, b_least) of most common signatures: a, b."""
-    counted = met.groupBy("uid", "n", "least", "b_uid", "b_n", "b_least").agg(F.count("*").alias("c")).where(_enough(num, den))
-    return counted.groupBy(F.col("uid").alias("a")).agg(F.max_by("b_uid", F.struct("c", "b_uid")).alias("b")).select("a", "b")
-
-
-def _mixed(entries: DataFrame, label: DataFrame, labels: int) -> DataFrame:
-    """Entries of signatures that more than one component has, with their component (label) and the number of the
-    signature's entries (crowd). Classes with fewer such entries than any similar class has in common with them
-    (floor) are left out."""
-    own = W.partitionBy("sig")
-    small = maybe_broadcast(label.select(F.col("node").alias("uid"), "label"), labels, 16)
-    labelled = entries.select("uid", "n", "least", "floor", "sig").join(small, "uid", "left").withColumn("label", F.coalesce("label", "uid"))
-    seen = labelled.withColumn("low", F.min("label").over(own)).withColumn("high", F.max("label").over(own))
-    mixed = written(seen.where("low < high").drop("low", "high"), "join-mixed")
-    able = written(mixed.groupBy("uid", "floor").agg(F.count("*").alias("c")).where("c >= floor").select("uid"), "join-able")
-    kept = mixed.join(maybe_broadcast(able, able.count(), 16), "uid", "left_semi")
-    return written(kept.withColumn("crowd", F.count("*").over(own)).drop("floor"), "join-kept")
-
-
-def _pairs(mixed: DataFrame, num: int, den: int) -> DataFrame:
-    """All pairs of classes of different components that have enough signatures in common."""
-    r = mixed.select("sig", "uid", "n", "least", "label")
-    s = mixed.select("sig", F.col("uid").alias("b_uid"), F.col("n").alias("b_n"), F.col("least").alias("b_least"), F.col("label").alias("b_label"))
+    """a, b: of each class (b), the met class (a) of most common signatures; each pair once."""
+    counted = met.groupBy("uid", "n", "floor", "b_uid", "b_n", "b_floor").agg(F.count("*").alias("c")).where(_enough(num, den))
+    best = counted.groupBy(F.col("uid").alias("a")).agg(F.max_by("b_uid", F.struct("c", "b_uid")).alias("b"))
+    # of two that chose each other one pair is enough
+    return best.select("a", "b", F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).groupBy("x", "y").agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b")
+
+
+def _mixed(entries: DataFrame, label: DataFrame) -> DataFrame:
+    """Entries of signatures that more than one component has, with their component (label)."""
+    named = label.select(F.col("node").alias("uid"), "label")
+    labelled = entries.join(maybe_broadcast(named, label.count(), 48), "uid", "left").withColumn("label", F.coalesce("label", "uid"))
+    several = labelled.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("sig")
+    return written(labelled.join(several, "sig", "left_semi"), "join-mixed")
+
+
+def _drawn(mixed: DataFrame, turn: int, num: int, den: int) -> DataFrame:
+    """a, b: each class with the class of another component that its signatures drew, the one of most common ones."""
+    drawn = mixed.groupBy("sig").agg(F.min_by(F.struct("uid", "n", "floor", "label"), F.xxhash64("uid", F.lit(turn))).alias("d"))
+    met = mixed.join(drawn, "sig").where(F.col("label") != F.col("d.label"))
+    return _best(met.select("uid", "n", "floor", F.col("d.uid").alias("b_uid"), F.col("d.n").alias("b_n"), F.col("d.floor").alias("b_floor")), num, den)
+
+
+def _rarest(mixed: DataFrame) -> DataFrame:
+    """Of each class (uid) its rarest signatures, all but one less than the common ones that any partner has; crowd: how
+    many classes share a signature."""
+    sizes = mixed.groupBy("sig").agg(F.count("*").alias("crowd"), F.min("floor").alias("low"))
+    rows = mixed.join(sizes, "sig")
+    own = W.partitionBy("uid")
+    rows = rows.withColumns({"c": F.count("*").over(own), "t": F.least(F.min("low").over(own), F.col("floor")), "r": F.row_number().over(own.orderBy("crowd", "sig"))})
+    return written(rows.where(F.col("r") <= F.col("c") - F.col("t") + 1).select("sig", "uid", "n", "floor", "label", "crowd"), "join-rarest")
+
+
+def _pairs(rarest: DataFrame, num: int, den: int) -> DataFrame:
+    """a, b: pairs of different components that share a signature and whose sizes allow similarity."""
+    r = rarest.select("sig", "uid", "n", "label")
+    s = rarest.select("sig", F.col("uid").alias("b_uid"), F.col("n").alias("b_n"), F.col("label").alias("b_label"))
     near = (r["sig"] == s["sig"]) & (F.col("label") < F.col("b_label")) & (den * F.least("n", "b_n") >= num * F.greatest("n", "b_n"))
-    counted = r.join(s, near).groupBy("uid", "n", "least", "b_uid", "b_n", "b_least").agg(F.count("*").alias("c"))
-    return counted.where(_enough(num, den)).select(F.col("uid").alias("a"), F.col("b_uid").alias("b"))
+    return r.join(s, near).select(F.col("uid").alias("a"), F.col("b_uid").alias("b")).distinct()
 
 
 def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, num: int = NUM, den: int = DEN) -> DataFrame:
     """key, n_shingles, class_id (hash of the set), component_id (smallest key reachable by links)."""
     all_rows = written(_signed(docs, key, text, n, num, den), "join-signed")
     members = all_rows.where("kind = 0").select("key", "mark", "uid", "n_shingles")
-    entries = all_rows.where("kind = 1").select("uid", F.col("n_shingles").alias("n"), "least", "floor", "sig", "b_uid", "b_n", "b_least")
+    entries = all_rows.where("kind = 1").select("uid", F.col("n_shingles").alias("n"), "floor", "sig", "b_uid", "b_n", "b_floor")
 
-    # every class with the partner of most common signatures
-    alone = docs.sparkSession.createDataFrame([], "node long, label long")
-    first = written(_best(entries, num, den), "join-best")
-    links = written(_met(first, alone, members, docs, key, text, n, num, den), "join-links")
-    label = written(components(links), "join-labels")
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = written(pairs, "join-pairs")
+        return written(_verified(pairs, members, docs, key, text, n, num, den), "join-links")
 
-    # what is left of several components: pairs where few classes share a signature, all of them where many do
-    mixed = _mixed(entries, label, label.count())
-    hot = mixed.where(F.col("crowd") > CROWD)
-    low = F.min("uid").over(W.partitionBy("sig"))
-    ties = hot.select(F.col("uid").alias("a"), low.alias("b")).where("a <> b").unionByName(_pairs(mixed.where(F.col("crowd") <= CROWD), num, den)).distinct()
-    more = written(_met(ties, label, members, docs, key, text, n, num, den), "join-links")
+    links = verified(_best(entries, num, den))
+    label = written(components(links), "join-labels")
+    mixed = _mixed(entries.select("uid", "n", "floor", "sig"), label)
+    for turn in range(STARS):
+        more = verified(_drawn(mixed, turn, num, den))
+        if not more.head(1):
+            break
+        links = links.unionByName(more)
+        label = written(components(links), "join-labels")
+        mixed = _mixed(mixed.select("uid", "n", "floor", "sig"), label)
+
+    # what several components still share, whole
+    rest = _rarest(mixed)
+    more = verified(_pairs(rest.where(F.col("crowd") <= CROWD), num, den))
+    hot = rest.where(F.col("crowd") > CROWD)
+    if hot.head(1):
+        more = more.unionByName(written(_met(hot.select("sig", "uid", "label"), members, docs, key, text, n, num, den), "join-links"))
     if more.head(1):
         label = written(components(links.unionByName(more)), "join-labels")
 

@@ -107,9 +107,10 @@ def test_join_of_edited_copies(spark, monkeypatch):
     rows = list(enumerate(texts))
     rnd.shuffle(rows)
     want = brute_components(rows)
-    for crowd, cell in ((48, 1024), (3, 8)):
+    for crowd, cell, stars in ((48, 1024, 3), (3, 8, 0)):
         monkeypatch.setattr(ngram_join, "CROWD", crowd)
         monkeypatch.setattr(ngram_join, "CELL", cell)
+        monkeypatch.setattr(ngram_join, "STARS", stars)
         got = ngram_join.jaccard_join(docs(spark, [t for _, t in rows], [i for i, _ in rows])).collect()
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
     assert len({c for _, c in want.values()}) > 20 and max(Counter(c for _, c in want.values()).values()) > 20
@@ -135,9 +136,18 @@ def test_join_signatures_find_every_similar_pair():
             both = len(np.intersect1d(a, b))
             if 100 * both < 80 * (len(a) + len(b) - both):
                 continue
-            (sa, la, fa), (sb, lb, fb) = ngram_join.signatures(a), ngram_join.signatures(b)
-            common = len(np.intersect1d(sa, sb))
-            assert common >= max(1, la if len(a) >= len(b) else lb, fa, fb)
+            (sa, fa), (sb, fb) = ngram_join.signatures(a), ngram_join.signatures(b)
+            assert len(np.intersect1d(sa, sb)) >= min(fa, fb) >= 1
+
+
+def test_join_allocates_neighbourhoods():
+    """Wherever many differences are allowed, segments carry their subsets, of several shingles on average."""
+    for band in range(3, 25):
+        segments, cells, need, most = ngram_join.allocation(band)
+        lo, hi = ngram_join.band_range(band)
+        assert most == ngram_join.most_different(hi) and segments >= need == (most + 1 if cells == 1 else most // 2 + 1)
+        assert cells > 2 or most < 15, (band, cells)
+        assert cells == 1 or lo / segments * (cells - 1) / cells > 3
 
 
 def test_dedup_hot_passage_by_either_way(spark, monkeypatch):
