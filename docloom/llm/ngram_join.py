@@ -21,12 +21,14 @@ hash part. The links are then found among classes:
 
 1. every class is compared with one partner, the one of most shared signatures among each signature's
    first class; what is similar is one component from then on;
-2. in up to ``STARS`` more rounds, signatures that several components share draw a class each, and every class
-   is compared with the drawn one of another component with which it shares most;
+2. signatures that still more than ``CROWD`` classes of several components share draw a class each, and every
+   class is compared with the drawn one of another component with which it shares most, in up to ``STARS`` rounds
+   while that links a tenth of them;
 3. what signatures still share across components is compared whole. A pair has at least the smaller of
-   two promised numbers of common signatures, so a class keeps only its rarest ones, as many as leave no
-   pair without a common one. Classes that share one of them meet as pairs, or, where more than ``CROWD`` share
-   it, block by block in tasks that write no pairs, only links that join components.
+   two promised numbers of common signatures. Pairs are counted where signatures are not crowded; what
+   crowded ones could add to the count is granted. Of crowded signatures a class keeps those among its
+   rarest, as many as leave no pair without a common one, and their classes meet block by block, in tasks
+   that write no pairs, only links that join components.
 
 Only verified links make components; candidates never do. Checks are exact, on the shingles of the texts
 themselves. No cap is set on candidates or partners.
@@ -67,9 +69,11 @@ SIG_BITS = 40
 MEETING_COST, MEETING_DECAY = 60.0, 0.2
 MOST_CELLS = 8
 SLACK = 1.2
-#: A signature that more classes of several components share is crowded; CELL: classes of a block.
+#: A signature that more classes of several components share is crowded; CELL, CELL_SHINGLES: about so many classes and
+#: shingles in a block.
 CROWD = 48
 CELL = 1024
+CELL_SHINGLES = 300_000
 STARS = 3
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -450,12 +454,12 @@ def _verified(pairs: DataFrame, members: DataFrame, docs: DataFrame, key: str, t
 
 
 def _met(crowds: DataFrame, members: DataFrame, docs: DataFrame, key: str, text: str, n: int, num: int, den: int) -> DataFrame:
-    """a, b: links among the classes (uid, with their component's label) of each crowd (sig), enough of them to join
+    """a, b: links among the classes (uid, n, and their component's label) of each crowd (sig), enough of them to join
     what is linked.
 
-    A crowd is dealt to blocks of about CELL classes by hash, and every two blocks meet in a task of their own, by an
-    index of their shingles. So no task holds more than two blocks, and no pairs are written."""
-    blocks = crowds.groupBy("sig").agg(F.ceil(F.count("*") / F.lit(CELL)).cast("int").alias("blocks"))
+    A crowd is dealt to blocks of about CELL classes or CELL_SHINGLES shingles by hash, and every two blocks meet in a
+    task of their own, by an index of their shingles. So no task holds more than two blocks, and no pairs are written."""
+    blocks = crowds.groupBy("sig").agg(F.ceil(F.greatest(F.count("*") / F.lit(CELL), F.sum("n") / F.lit(CELL_SHINGLES))).cast("int").alias("blocks"))
     placed = crowds.join(blocks, "sig").select("uid", "sig", "label", "blocks", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int").alias("block"))
     texts = _texts(placed.select("uid").distinct(), members, docs, key, text, n)
     sent = placed.join(texts, "uid").select("sig", "uid", "label", "text", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
@@ -497,36 +501,42 @@ def _best(met: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _mixed(entries: DataFrame, label: DataFrame) -> DataFrame:
-    """Entries of signatures that more than one component has, with their component (label)."""
+    """Entries of signatures that more than one component has, with their component (label) and the number of the
+    signature's entries (crowd)."""
     named = label.select(F.col("node").alias("uid"), "label")
-    labelled = entries.join(maybe_broadcast(named, label.count(), 48), "uid", "left").withColumn("label", F.coalesce("label", "uid"))
-    several = labelled.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("sig")
-    return written(labelled.join(several, "sig", "left_semi"), "join-mixed")
+    labelled = entries.select("uid", "n", "floor", "sig").join(maybe_broadcast(named, label.count(), 48), "uid", "left").withColumn("label", F.coalesce("label", "uid"))
+    several = labelled.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("crowd")).where("low < high").select("sig", "crowd")
+    return written(labelled.join(several, "sig"), "join-mixed")
 
 
-def _drawn(mixed: DataFrame, turn: int, num: int, den: int) -> DataFrame:
+def _drawn(hot: DataFrame, turn: int, num: int, den: int) -> DataFrame:
     """a, b: each class with the class of another component that its signatures drew, the one of most common ones."""
-    drawn = mixed.groupBy("sig").agg(F.min_by(F.struct("uid", "n", "floor", "label"), F.xxhash64("uid", F.lit(turn))).alias("d"))
-    met = mixed.join(drawn, "sig").where(F.col("label") != F.col("d.label"))
-    return _best(met.select("uid", "n", "floor", F.col("d.uid").alias("b_uid"), F.col("d.n").alias("b_n"), F.col("d.floor").alias("b_floor")), num, den)
+    drawn = hot.groupBy("sig").agg(F.min_by(F.struct("uid", "n", "floor", "label"), F.xxhash64("uid", F.lit(turn))).alias("d"))
+    met = hot.join(drawn, "sig").where(F.col("label") != F.col("d.label"))
+    return _best(met.select("uid", "n", F.lit(0).alias("floor"), F.col("d.uid").alias("b_uid"), F.col("d.n").alias("b_n"), F.lit(0).alias("b_floor")), num, den)
 
 
 def _rarest(mixed: DataFrame) -> DataFrame:
-    """Of each class (uid) its rarest signatures, all but one less than the common ones that any partner has; crowd: how
-    many classes share a signature."""
-    sizes = mixed.groupBy("sig").agg(F.count("*").alias("crowd"), F.min("floor").alias("low"))
-    rows = mixed.join(sizes, "sig")
+    """Of classes with crowded signatures their rarest ones, all but one less than the common ones that any partner has."""
+    sizes = mixed.groupBy("sig").agg(F.min("floor").alias("low"))
+    able = mixed.where(F.col("crowd") > CROWD).select("uid").distinct()
+    rows = mixed.join(able, "uid", "left_semi").join(sizes, "sig")
     own = W.partitionBy("uid")
     rows = rows.withColumns({"c": F.count("*").over(own), "t": F.least(F.min("low").over(own), F.col("floor")), "r": F.row_number().over(own.orderBy("crowd", "sig"))})
-    return written(rows.where(F.col("r") <= F.col("c") - F.col("t") + 1).select("sig", "uid", "n", "floor", "label", "crowd"), "join-rarest")
+    return rows.where((F.col("r") <= F.col("c") - F.col("t") + 1) & (F.col("crowd") > CROWD)).select("sig", "uid", "n", "label")
 
 
-def _pairs(rarest: DataFrame, num: int, den: int) -> DataFrame:
-    """a, b: pairs of different components that share a signature and whose sizes allow similarity."""
-    r = rarest.select("sig", "uid", "n", "label")
-    s = rarest.select("sig", F.col("uid").alias("b_uid"), F.col("n").alias("b_n"), F.col("label").alias("b_label"))
+def _pairs(mixed: DataFrame, num: int, den: int) -> DataFrame:
+    """a, b: pairs of different components with enough common signatures, if those that are crowded (h of a class) are
+    taken as common."""
+    few = mixed.where(F.col("crowd") <= CROWD)
+    crowded = mixed.where(F.col("crowd") > CROWD).groupBy("uid").agg(F.count("*").alias("h"))
+    few = few.join(crowded, "uid", "left").withColumn("h", F.coalesce("h", F.lit(0)))
+    r = few.select("sig", "uid", "n", "floor", "label", "h")
+    s = few.select("sig", *[F.col(c).alias(f"b_{c}") for c in ("uid", "n", "floor", "label", "h")])
     near = (r["sig"] == s["sig"]) & (F.col("label") < F.col("b_label")) & (den * F.least("n", "b_n") >= num * F.greatest("n", "b_n"))
-    return r.join(s, near).select(F.col("uid").alias("a"), F.col("b_uid").alias("b")).distinct()
+    counted = r.join(s, near).groupBy("uid", "b_uid").agg(F.count("*").alias("c"), F.first(F.least("floor", "b_floor")).alias("floor"), F.first(F.least("h", "b_h")).alias("h"))
+    return counted.where("c + h >= floor").select(F.col("uid").alias("a"), F.col("b_uid").alias("b"))
 
 
 def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -541,21 +551,23 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: in
 
     links = verified(_best(entries, num, den))
     label = written(components(links), "join-labels")
-    mixed = _mixed(entries.select("uid", "n", "floor", "sig"), label)
+    mixed = _mixed(entries, label)
     for turn in range(STARS):
-        more = verified(_drawn(mixed, turn, num, den))
+        hot = mixed.where(F.col("crowd") > CROWD)
+        more = verified(_drawn(hot, turn, num, den)) if hot.head(1) else hot
         if not more.head(1):
             break
         links = links.unionByName(more)
         label = written(components(links), "join-labels")
-        mixed = _mixed(mixed.select("uid", "n", "floor", "sig"), label)
+        mixed = _mixed(mixed, label)
+        if more.count() * 10 < hot.select("uid").distinct().count():  # the crowds are not of near copies
+            break
 
     # what several components still share, whole
-    rest = _rarest(mixed)
-    more = verified(_pairs(rest.where(F.col("crowd") <= CROWD), num, den))
-    hot = rest.where(F.col("crowd") > CROWD)
+    more = verified(_pairs(mixed, num, den))
+    hot = written(_rarest(mixed), "join-crowds")
     if hot.head(1):
-        more = more.unionByName(written(_met(hot.select("sig", "uid", "label"), members, docs, key, text, n, num, den), "join-links"))
+        more = more.unionByName(written(_met(hot, members, docs, key, text, n, num, den), "join-links"))
     if more.head(1):
         label = written(components(links.unionByName(more)), "join-labels")
 
