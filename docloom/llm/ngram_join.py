@@ -27,8 +27,11 @@ hash part. The links are then found among classes:
 3. what signatures still share across components is compared whole. A pair has at least the smaller of
    two promised numbers of common signatures. Pairs are counted where signatures are not crowded; what
    crowded ones could add to the count is granted. Of crowded signatures a class keeps those among its
-   rarest, as many as leave no pair without a common one, and their classes meet block by block, in tasks
-   that write no pairs, only links that join components.
+   rarest, as many as leave no pair without a common one; its classes meet block by block, in tasks
+   that write no pairs, only links that join components. Classes that hang together by such pairs and
+   crowds are compared pair by pair and crowd by crowd, or, where that costs more, all with all, each text sent
+   once a block: whichever is cheaper for them (``_planned``), so that neither many crowds of the same
+   classes nor a long chain of candidates is paid in full.
 
 Only verified links make components; candidates never do. Checks are exact, on the shingles of the texts
 themselves. No cap is set on candidates or partners.
@@ -74,6 +77,8 @@ SLACK = 1.2
 CROWD = 48
 CELL = 1024
 CELL_SHINGLES = 300_000
+#: So many pairs that meet in a block cost as much as a text sent there.
+MEETS = 128
 STARS = 3
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -123,8 +128,11 @@ class Hasher:
         k = min(self.n, len(words))
         out = np.full(len(words) - k + 1, k, np.uint64)
         for i in range(k):
-            out = out * _U(0x9E3779B97F4A7C15) + _mix(h[i : len(h) - k + 1 + i] + _U(i))
-        return np.unique(_mix(out))
+            out *= _U(0x9E3779B97F4A7C15)
+            out += h[i : len(h) - k + 1 + i]
+        out = _mix(out)
+        out.sort()
+        return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
 @lru_cache(maxsize=None)
@@ -192,7 +200,7 @@ def signatures(h: np.ndarray, num: int = NUM, den: int = DEN) -> tuple[np.ndarra
         promised = max(1, common if promised is None else min(promised, common))
         i = np.flatnonzero(n.ravel() >= q)
         out.append(_mix(sums.ravel()[i] + (i.astype(np.uint64) + _U(1)) * _U(0x9E3779B97F4A7C15) + _U(band * 0xD6E8FEB86659FD93 & (1 << 64) - 1)))
-    return np.unique(np.concatenate(out)), promised
+    return np.concatenate(out), promised
 
 
 def _pack(sig: np.ndarray, doc: np.ndarray, uid: np.ndarray, size: np.ndarray, floor: np.ndarray, press) -> bytes:
@@ -539,6 +547,29 @@ def _pairs(mixed: DataFrame, num: int, den: int) -> DataFrame:
     return counted.where("c + h >= floor").select(F.col("uid").alias("a"), F.col("b_uid").alias("b"))
 
 
+def _planned(pairs: DataFrame, hot: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pairs to compare one by one, crowds to compare whole): the cheaper way for each group that hangs together.
+
+    Costs are texts sent, and a share of one for every two classes that meet in a block. sizes: uid, n, label."""
+    ties = pairs.unionByName(hot.select(F.col("uid").alias("a"), F.min("uid").over(W.partitionBy("sig")).alias("b")).where("a <> b"))
+    group = written(components(ties).select(F.col("node").alias("uid"), F.col("label").alias("group")), "join-groups")
+
+    def cost(rows: DataFrame, by: str) -> DataFrame:
+        k, blocks = F.count("*"), F.ceil(F.greatest(F.count("*") / F.lit(CELL), F.sum("n") / F.lit(CELL_SHINGLES)))
+        return rows.groupBy(by).agg((k * blocks + k * k / F.lit(MEETS)).alias("cost"))
+
+    named = group.join(sizes, "uid")
+    whole = cost(named, "group").select("group", F.col("cost").alias("whole"))
+    crowds = cost(hot, "sig").join(hot.groupBy("sig").agg(F.min("uid").alias("uid")), "sig").join(group, "uid").select("sig", "group", "cost")
+    placed = pairs.join(group.withColumnRenamed("uid", "a"), "a")
+    apart = crowds.select("group", "cost").unionByName(placed.select("group", F.lit(1.0).alias("cost"))).groupBy("group").agg(F.sum("cost").alias("apart"))
+    plan = written(whole.join(apart, "group").select("group", (F.col("whole") < F.col("apart")).alias("all")), "join-plan")
+    pairs = placed.join(plan.where("not all"), "group", "left_semi").select("a", "b")
+    left = hot.join(crowds.join(plan.where("not all"), "group", "left_semi").select("sig"), "sig", "left_semi")
+    together = named.join(plan.where("all"), "group", "left_semi").select(F.xxhash64("group").alias("sig"), "uid", "n", "label")
+    return pairs, left.select("sig", "uid", "n", "label").unionByName(together)
+
+
 def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, num: int = NUM, den: int = DEN) -> DataFrame:
     """key, n_shingles, class_id (hash of the set), component_id (smallest key reachable by links)."""
     all_rows = written(_signed(docs, key, text, n, num, den), "join-signed")
@@ -564,10 +595,10 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: in
             break
 
     # what several components still share, whole
-    more = verified(_pairs(mixed, num, den))
-    hot = written(_rarest(mixed), "join-crowds")
-    if hot.head(1):
-        more = more.unionByName(written(_met(hot, members, docs, key, text, n, num, den), "join-links"))
+    pairs, hot = written(_pairs(mixed, num, den), "join-pairs"), written(_rarest(mixed), "join-crowds")
+    pairs, crowds = _planned(pairs, hot, mixed.select("uid", "n", "label").distinct())
+    more = verified(pairs)
+    more = more.unionByName(written(_met(written(crowds, "join-crowds"), members, docs, key, text, n, num, den), "join-links"))
     if more.head(1):
         label = written(components(links.unionByName(more)), "join-labels")
 
