@@ -204,14 +204,90 @@ def test_pii_base_fuzz():
 
 
 def test_pii_bootstraps_and_masks(spark):
-    seeds = [f"please write to user{i}@mail.example.com today" for i in range(8)]
-    texts = seeds + ["please write to user77(at)mail today", "numbers 12345 are harmless", "please write to 8827-ax-91 today", None]
-    found = pii.find(docs(spark, texts))
+    """Held-out identifiers in contexts that seeds taught; contexts in which words stand teach nothing."""
+    seeds = [f"please write to user{i}@mail.example.com today" for i in range(12)]
+    keys = [f"token = {hashlib.sha1(str(i).encode()).hexdigest()} is set" for i in range(12)]
+    loose = [f"as sent by user{i}@mail.example.com then" for i in range(6)] + [f"as sent by {w} then" for w in ("us", "them", "nobody", "all", "some", "one", "post")]
+    odd = ["Please write to user77(at)mail, today", "numbers 12345 are harmless", "please write to 8827-ax-91 today", None, "", 'a token = "hunter-two" İ token = kept; b']
+    texts = seeds + keys + loose + odd + [odd[0]]
+    df = docs(spark, texts).withColumns({"_mark": F.lit(1), "_spans": F.lit("x")})
+    found = pii.find(df)
     spans = {r.doc_id: [(s.kind, texts[r.doc_id][s.start : s.end], s.base) for s in r.spans] for r in found.collect()}
-    assert spans[0] == [("email", "user0@mail.example.com", True)]
-    assert spans[10] == [("email", "8827-ax-91", False)] and spans[9] == [] and spans[11] == []
-    masked = {r.doc_id: r.text for r in pii.mask(docs(spark, texts), found).collect()}
-    assert masked[0] == "please write to [email] today" and masked[9] == texts[9] and masked[11] is None
+    at = len(texts) - len(odd) - 1
+    assert spans[0] == [("email", "user0@mail.example.com", True)] and spans[12] == [("secret", keys[0].split()[2], False)]
+    assert spans[at] == spans[at + 6] == [("email", "user77(at)mail", False)] and spans[at + 2] == [("email", "8827-ax-91", False)]
+    assert spans[at + 1] == spans[at + 3] == spans[at + 4] == [] and spans[at + 5] == [("secret", "hunter-two", False), ("secret", "kept", False)]
+    assert not any(spans[i] for i in range(30, 37))
+    masked = {r.doc_id: r.text for r in pii.mask(df, found).collect()}
+    assert masked[0] == "please write to [email] today" and masked[at] == "Please write to [email], today" and masked[at + 1] == odd[1] and masked[at + 3] is None
+
+
+def brute_learn(rows):
+    """Patterns of rows (kind, value, patterns), scored by loops."""
+    edges = {}
+    for kind, value, patterns in rows:
+        for p in patterns:
+            edges.setdefault(p, {})[value] = max(kind or "", edges.get(p, {}).get(value) or "") or None
+    scores = {v: (k, 1.0) for vs in edges.values() for v, k in vs.items() if k}
+    known, good = dict(scores), {}
+    for _ in range(pii.ROUNDS):
+        good = {}
+        for p, vs in edges.items():
+            best = max(((sum(scores[v][1] for v in vs if v in scores and scores[v][0] == k) / (len(vs) + 0.5), k, sum(v in scores and scores[v][0] == k and scores[v][1] >= 0.5 for v in vs)) for k in pii.KINDS + pii.MORE))
+            if best[0] >= pii.CONFIDENT and best[2] >= pii.SUPPORT:
+                good[p] = best[1], best[0]
+        unseen = {}
+        for p, (k, c) in good.items():
+            for v, own in edges[p].items():
+                if not own and v not in known:
+                    unseen.setdefault(v, {}).setdefault(k, []).append(1 - min(c, 0.999))
+        scores = known | {v: max(((1 - float(np.prod(x)), k) for k, x in ks.items()))[::-1] for v, ks in unseen.items()}
+    return good
+
+
+def test_pii_query_equals_brute_force(spark, sf, tmp_path):
+    """The whole query on a small table, hashes and spans, against loops over its texts."""
+    rnd = random.Random(9)
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    kinds = {"reach me at": "u%d@mail.example.com", "the token =": "%040xe", "from host": "10.0.0.%d", "go to the": "w%d"}
+    for i in range(160):
+        context = rnd.choice(list(kinds))
+        value = kinds[context] % i if rnd.random() < 0.9 else rnd.choice(["word", f"x-{i}", f"8{i}"])
+        texts[10_000 + i] = f"{context} {value} {rnd.choice(['now', 'today'])} and so on"
+    df = docs(spark, list(texts.values()), list(texts))
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    first = {i: pii.instances(t, [x for part in pii.seeds(t) for x in part]) for i, t in texts.items()}
+    kept = brute_learn([(k, v, p) for rows in first.values() for k, _, _, v, p in rows])
+    second = {}
+    for i, t in texts.items():
+        low = pii._folded(t or "")
+        tokens = [(m.start(), m.end()) for m in re.finditer(r"\S+", t or "")]
+        word = lambda k: (lambda a, z: low[a:z])(*pii._core(low, *tokens[k])) if 0 <= k < len(tokens) else ""  # noqa: E731, B023
+        own = [x for part in pii.seeds(t) for x in part]
+        second[i] = []
+        for k, (a, z) in enumerate(tokens):
+            a, z = pii._core(t, a, z)
+            if a == z or not word(k - 1):
+                continue
+            seed = next((x for x in own if x[1] < z and a < x[2]), None)
+            b, e = (seed[1], seed[2]) if seed else (a, z)
+            after = next((j for j, (x, _) in enumerate(tokens) if x >= e), len(tokens))
+            ps = [p for p in pii._patterns((word(k - 2), word(k - 1), word(after))) if p in kept]
+            if ps:
+                second[i].append((seed[0] if seed else None, b, e, t[b:e].lower(), ps))
+    good = brute_learn([(k, v, p) for rows in second.values() for k, _, _, v, p in rows])
+    added = 0
+    for r in registry.QUERIES["op4_pii"](spark, f"file://{tmp_path}").collect():
+        t = texts[r.doc_id]
+        base, more = pii.seeds(t)
+        assert base == brute_pii(t or "")
+        more = more + [(max((good[p][1], good[p][0]) for p in ps if p in good)[1], a, z) for k, a, z, _, ps in second[r.doc_id] if k is None and any(p in good for p in ps)]
+        order = {k: i for i, k in enumerate(pii.KINDS + pii.MORE)}
+        write = lambda xs: ",".join(f"{k}:{a}:{z}" for k, a, z in sorted(set(xs), key=lambda x: (order[x[0]], x[1], x[2])))
+        assert (r.base_sha256, r.spans) == (sha(write(base)), write(base + more)), t
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(x[0] == k for x in base) for k in pii.KINDS]
+        added += len(more)
+    assert good and added
 
 
 def test_bpe_equals_library(spark, sf, monkeypatch):
