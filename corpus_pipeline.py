@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import bpe, decontamination, language_id, ngram_join, pii
-from docloom.llm.common import maybe_broadcast, table, written
+from docloom.llm.common import fresh, maybe_broadcast, table, written
 
 #: A document stays if the languages found in it together explain at least this share of its text, the background
 #: the rest; within this many standard errors of the share, as a short text has few trigrams to tell it from.
@@ -30,17 +30,19 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     known = F.least(F.lit(1.0), F.aggregate("languages", F.lit(0.0), lambda s, x: s + x["share"]))
     n = F.greatest(F.lit(1), F.length(F.trim(F.regexp_replace("_doc.text", r"\P{L}+", " "))))
     found = found.where((known >= LEAST_SHARE) | (known + ERRORS * F.sqrt(known * (1 - known) / n) >= LEAST_SHARE))
-    return found.select("_doc.*", F.col("lang_pred").alias("_lang")).withColumn("lang", F.coalesce("lang", "_lang")).select(*docs.columns)
+    lang = fresh(docs, "_lang")
+    return found.select("_doc.*", F.col("lang_pred").alias(lang)).withColumn("lang", F.coalesce("lang", lang)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group of near copies the document of the smallest id (null ids last). Documents without
     words are in no group and stay."""
-    rows = written(docs.withColumn("_tag", F.monotonically_increasing_id()), "pipeline-tagged")
-    keyed = rows.select(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("id"), F.col("_tag").alias("tag")).alias("_key"), "text")
+    tag = fresh(docs, "_tag")
+    rows = written(docs.withColumn(tag, F.monotonically_increasing_id()), "pipeline-tagged")
+    keyed = rows.select(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("id"), F.col(tag).alias("tag")).alias("_key"), "text")
     found = ngram_join.jaccard_join(keyed, key="_key")
-    gone = written(found.where(F.col("_key.tag") != F.col("component_id.tag")).select(F.col("_key.tag").alias("_tag")), "pipeline-copies")
-    return rows.join(maybe_broadcast(gone, gone.count(), 16), "_tag", "left_anti").select(*docs.columns)
+    gone = written(found.where(F.col("_key.tag") != F.col("component_id.tag")).select(F.col("_key.tag").alias(tag)), "pipeline-copies")
+    return rows.join(maybe_broadcast(gone, gone.count(), 16), tag, "left_anti").select(*docs.columns)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

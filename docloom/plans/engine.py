@@ -72,6 +72,10 @@ class SearchEngine:
         rows = [tuple(list(map(float, v)) if n == "vector" and v is not None else v for n, v in ((n, asdict(q)[n]) for n in names)) for q in batch]
         return self.spark.createDataFrame(rows, schema.QUERIES)
 
+    def _known(self) -> DataFrame:
+        """The vectors that have a document: others take no rank."""
+        return self.vectors.join(self.docs.select(F.col("doc_idx").alias("doc_id")), "doc_id", "left_semi")
+
     def _eligible(self, scored: DataFrame, queries: DataFrame, batch: list[Query]) -> DataFrame:
         """Scored rows whose document passes its query's filters. Wide text is met only if a query asks for it."""
         if not any(q.filtered for q in batch):
@@ -101,8 +105,7 @@ class SearchEngine:
         if mode != "semantic":
             lex = self._eligible(ranking.lexical(ranking.query_terms(queries, c, self.lemma), self.postings), queries, batch)
         if mode != "bm25":
-            known = self.vectors.join(self.docs.select(F.col("doc_idx").alias("doc_id")), "doc_id", "left_semi")
-            sem = self._eligible(ranking.semantic(queries, known), queries, batch)
+            sem = self._eligible(ranking.semantic(queries, self._known()), queries, batch)
         if mode == "hybrid":
             scored = ranking.fuse([ranking.top(lex, c.top), ranking.top(sem, c.top)], list(c.layer_weights), c.rrf_k)
         else:
@@ -134,7 +137,7 @@ class SearchEngine:
         else:
             parts = parts.withColumns({"bm25_rank": none.cast("int"), "bm25_score": none.cast("double")})
         if mode != "bm25":
-            sem = ranking.top(self._eligible(ranking.semantic(queries, self.vectors), queries, batch), c.top)
+            sem = ranking.top(self._eligible(ranking.semantic(queries, self._known()), queries, batch), c.top)
             parts = parts.join(sem.select("query_id", "doc_idx", F.col("rank").alias("sem_rank"), F.col("score").alias("sem_sim")), ["query_id", "doc_idx"], "left")
         else:
             parts = parts.withColumns({"sem_rank": none.cast("int"), "sem_sim": none.cast("double")})
@@ -156,7 +159,7 @@ class SearchEngine:
         if not 1 <= limit <= 20 or case < 0:
             raise ValueError("limit is 1 to 20, ids are not negative")
         anchor = self.vectors.where(F.col("doc_id") == case).limit(1).select(F.col("embedding").alias("a"))
-        rest = self.vectors.where(F.col("doc_id") != case).join(self.docs.select(F.col("doc_idx").alias("doc_id")), "doc_id", "left_semi")
+        rest = self._known().where(F.col("doc_id") != case)
         near = rest.crossJoin(F.broadcast(anchor)).select(F.lit(0).cast("long").alias("query_id"), F.col("doc_id").alias("doc_idx"), (dot(F.col("embedding"), F.col("a")) * 100).alias("score"))
         near = near.orderBy(F.desc("score"), "doc_idx").limit(limit)
         ranks = near.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "doc_idx"))).withColumn("alternative_channels", F.array().cast("array<string>"))
