@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import functools
 import gc
+import re
 import tempfile
 import uuid
 from functools import reduce
@@ -33,6 +34,8 @@ def shared_dir(spark: SparkSession) -> str:
     tests, a temporary one is made and set for this session."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         found = "file://" + tempfile.mkdtemp(prefix="docloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -53,13 +56,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage with a table in the shared folder: lost executors cost no recomputation."""
     path = scratch(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def drop(*tables: DataFrame) -> None:
+    """Delete tables of written() that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def width(df: DataFrame) -> int:

@@ -109,7 +109,7 @@ def fold(key: Column, n: int) -> Column:
 
 
 def fit(labelled: DataFrame, text: str = "text", language: str = "lang", key: str = "doc_id", per_language: int = PER_LANGUAGE) -> Mixture:
-    rows = labelled.select(F.col(text).alias("text"), F.col(language).alias("lang"), F.col(key).alias("key")).where((F.length("lang") > 0) & F.col("text").isNotNull())
+    rows = labelled.select(F.col(text).alias("text"), F.col(language).alias("lang"), F.col(key).alias("key")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
     if not sizes:
         return Mixture([], np.zeros((CELLS, 0)))

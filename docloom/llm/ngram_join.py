@@ -55,7 +55,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import lean, maybe_broadcast, table, width, written
+from .common import drop, lean, maybe_broadcast, table, width, written
 from .graph import components
 
 N = 5
@@ -421,12 +421,11 @@ def _bridges(ids: list[bytes], labels: list[bytes], texts: list[bytes], side: np
     return out
 
 
-def _verified(pairs: DataFrame, members: DataFrame, docs: DataFrame, key: str, text: str, n: int, num: int, den: int) -> DataFrame:
-    """The similar ones of pairs a, b (distinct, written).
+def _verified(pairs: DataFrame, texts: DataFrame, parts: int, n: int, num: int, den: int) -> DataFrame:
+    """The similar ones of pairs a, b (distinct, written). texts: uid, text of all their classes (written).
 
     A class that many others meet (b) is dealt to blocks of about CELL partners, so that no task holds more than its text
     and one partner's. Each pair costs one text, each block one more."""
-    texts = written(_texts(pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))).distinct(), members, docs, key, text, n), "join-texts")
     blocks = written(pairs.groupBy("b").agg(F.ceil(F.count("*") / F.lit(CELL)).cast("int").alias("blocks")), "join-blocks")
     few = maybe_broadcast(blocks, blocks.count(), 32)
     own = pairs.join(few, "b").select("b", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int").alias("block"), F.col("a").alias("uid"), F.lit(1).alias("side"))
@@ -457,7 +456,7 @@ def _verified(pairs: DataFrame, members: DataFrame, docs: DataFrame, key: str, t
             if left:
                 yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b"])
 
-    dealt = sent.repartition(width(docs), "b", "block").sortWithinPartitions("b", "block", "side")
+    dealt = sent.repartition(parts, "b", "block").sortWithinPartitions("b", "block", "side")
     return dealt.mapInArrow(lean(judge), "a binary, b binary")
 
 
@@ -578,7 +577,11 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: in
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = written(pairs, "join-pairs")
-        return written(_verified(pairs, members, docs, key, text, n, num, den), "join-links")
+        ends = pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))).distinct()
+        texts = written(_texts(ends, members, docs, key, text, n), "join-texts")
+        found = written(_verified(pairs, texts, width(docs), n, num, den), "join-links")
+        drop(pairs, texts)
+        return found
 
     links = verified(_best(entries, num, den))
     label = written(components(links), "join-labels")
