@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lean, plus, table, width
+from .common import lean, plus, table, tuned, width
 
 BLOCK_BYTES = 6 << 20
 
@@ -96,6 +96,7 @@ def _blocks(batches):
 def encode(docs: DataFrame, tokenizer_path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), decoded: bool = False) -> DataFrame:
     """The kept columns and ids array<int>; with ``decoded``, also the text that they decode to, joined in the same
     task (as decode() does for a table of ids)."""
+    tuned(docs.sparkSession)
     tokenizer_json = open(tokenizer_path, encoding="utf-8").read()
     if not spans_no_blank(tokenizer_json):
         raise ValueError("the tokenizer keeps white space in its tokens: words cannot be encoded one by one")
@@ -226,6 +227,7 @@ class Pieces:
 
 def decode(tokens: DataFrame, tokenizer_path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
     """tokens and the decoded text of each row's ids (special tokens kept)."""
+    tuned(tokens.sparkSession)
     tokenizer_json = open(tokenizer_path, encoding="utf-8").read()
     Pieces(tokenizer_json)  # refuses a decoder that it does not know
     held = tokens.sparkSession.sparkContext.broadcast(tokenizer_json)

@@ -19,13 +19,22 @@ from pyspark.sql.types import StructType
 BROADCAST_BYTES = 32 << 20
 
 
-#: Rows of an Arrow batch: texts are long, and a worker holds a batch or two.
-BATCH_ROWS = 256
+#: Limits of an Arrow batch: the JVM and the worker each hold a few, outside the heap. Rows alone are no limit, as texts
+#: and packed rows are long.
+BATCH_ROWS, BATCH_BYTES = 1024, 2 << 20
+
+
+def tuned(spark: SparkSession) -> None:
+    """Set the session's limits of an Arrow batch, unless they are lower; every operator calls this."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        held = spark.conf.get(name, None)
+        if not str(held).isdigit() or int(held) <= 0 or int(held) > most:
+            spark.conf.set(name, str(most))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    tuned(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -54,6 +63,7 @@ def qualified(spark: SparkSession, path: str) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage with a table in the shared folder: lost executors cost no recomputation."""
+    tuned(df.sparkSession)
     path = scratch(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lean, plus, table, union_all, written
+from .common import lean, plus, table, tuned, union_all, written
 
 N = 13
 BLOCK = 3
@@ -98,6 +98,7 @@ def _slices(bench: DataFrame, item: str, text: str):
 
 def _scan(docs: DataFrame, key: str, text: str, items: list, n: int, extra: list) -> DataFrame:
     """One pass over the documents with one slice; ``extra`` columns are handed through."""
+    tuned(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast((items, n))
     rows = docs.select(F.col(text).cast("binary").alias("_text"), F.col(key), *extra)
     kept = rows.schema.names[1:]

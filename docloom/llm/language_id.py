@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lean, plus, table
+from .common import lean, plus, table, tuned
 
 CELLS = 1 << 16
 PER_LANGUAGE = 2_000
@@ -109,6 +109,7 @@ def fold(key: Column, n: int) -> Column:
 
 
 def fit(labelled: DataFrame, text: str = "text", language: str = "lang", key: str = "doc_id", per_language: int = PER_LANGUAGE) -> Mixture:
+    tuned(labelled.sparkSession)
     rows = labelled.select(F.col(text).alias("text"), F.col(language).alias("lang"), F.col(key).alias("key")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
     if not sizes:
@@ -140,6 +141,7 @@ def fit(labelled: DataFrame, text: str = "text", language: str = "lang", key: st
 
 def identify(docs: DataFrame, model: Mixture, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns, lang_pred, score and languages array<struct<lang, share>> (the chosen set)."""
+    tuned(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(text).alias("_text"), *keep)
     schema = plus(rows.drop("_text").schema, "lang_pred string, score double, languages array<struct<lang:string,share:double>>")

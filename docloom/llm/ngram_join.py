@@ -55,7 +55,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import drop, lean, maybe_broadcast, table, width, written
+from .common import drop, lean, maybe_broadcast, table, tuned, width, written
 from .graph import components
 
 N = 5
@@ -571,6 +571,7 @@ def _planned(pairs: DataFrame, hot: DataFrame, sizes: DataFrame) -> tuple[DataFr
 
 def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, num: int = NUM, den: int = DEN) -> DataFrame:
     """key, n_shingles, class_id (hash of the set), component_id (smallest key reachable by links)."""
+    tuned(docs.sparkSession)
     all_rows = written(_signed(docs, key, text, n, num, den), "join-signed")
     members = all_rows.where("kind = 0").select("key", "mark", "uid", "n_shingles")
     entries = all_rows.where("kind = 1").select("uid", F.col("n_shingles").alias("n"), "floor", "sig", "b_uid", "b_n", "b_floor")

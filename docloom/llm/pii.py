@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, lean, maybe_broadcast, plus, table, union_all, written
+from .common import fresh, lean, maybe_broadcast, plus, table, tuned, union_all, written
 
 #: Fixed values, in the order in which results list them.
 KINDS = ("email", "ip", "card", "phone")
@@ -250,6 +250,7 @@ def _mark(text: str) -> Column:
 
 def _scan(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, mark, spans of the fixed patterns, and found: seeds and candidates with patterns."""
+    tuned(docs.sparkSession)
     rows = docs.select(F.col(text).alias("_text"), F.col(key), _mark(text).alias("mark"))
     schema = plus(rows.drop("_text").schema, f"spans {_SPANS}, found {_FOUND}")
 
@@ -332,6 +333,7 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", confident: fl
 
 def mask(docs: DataFrame, found: DataFrame, text: str = "text", sign: str = "[{}]") -> DataFrame:
     """docs with every span of found (from find()) in the text replaced by its kind; overlaps are one span."""
+    tuned(docs.sparkSession)
     mark, spans_at = fresh(docs, "_mark"), fresh(docs, "_spans")
     marked = written(found.where(F.size("spans") > 0).select(F.col("mark").alias(mark), F.col("spans").alias(spans_at)).dropDuplicates([mark]), "pii-marked")
     small = maybe_broadcast(marked.select(mark), marked.count(), 48)

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, lean, maybe_broadcast, plus, table, width, written
+from .common import BROADCAST_BYTES, lean, maybe_broadcast, plus, table, tuned, width, written
 
 W = 50
 GRAM = 8
@@ -147,6 +147,7 @@ def _runs(seg: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", w: int = W) -> DataFrame:
     """row (hash of key and text), start, end: word ranges covered by windows that start in a smaller key."""
+    tuned(docs.sparkSession)
     rows = docs.select(F.col(text).cast("binary").alias("text"), F.col(key).cast("long").alias("doc")).where(F.col("text").isNotNull() & F.col("doc").isNotNull())
     rows = rows.withColumn("row", F.xxhash64("doc", "text"))
     n = width(docs)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lean, plus, table
+from .common import lean, plus, table, tuned
 from .language_id import fold
 
 LETTERS = 40
@@ -246,6 +246,7 @@ def _apart(words: list[str], most: int) -> list[str]:
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = PER_CLASS) -> ToxicityModel:
     """Learn from labelled rows. Labels are drawn by hash first, so that the documents, which are large,
     meet a side of bounded size and are not shuffled."""
+    tuned(docs.sparkSession)
     rows = labels.select(F.col(key).alias("_key"), F.col(label).cast("int").alias("_y")).where(F.col("_y").isNotNull() & F.col("_key").isNotNull()).groupBy("_key").agg(F.max("_y").alias("_y"))
     sizes = {r["_y"]: r["n"] for r in rows.groupBy((F.col("_y") > 0).cast("int").alias("_y")).agg(F.count("*").alias("n")).collect()}
     if not sizes:
@@ -296,6 +297,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
 def score(docs: DataFrame, model: ToxicityModel, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns, score, and nearest array<string>: landmarks that some word is near."""
+    tuned(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(text).alias("_text"), *keep)
     schema = plus(rows.drop("_text").schema, "score double, nearest array<string>")
