@@ -223,7 +223,7 @@ def _unpack(raw: bytes) -> tuple[np.ndarray, ...]:
     planes[: SIG_BITS // 8] = np.frombuffer(raw, np.uint8, n * (SIG_BITS // 8), at).reshape(-1, n)
     sig = np.cumsum(np.frombuffer(planes.T.tobytes(), "<u8"), dtype=np.uint64)
     doc = np.frombuffer(raw, "<u2", n, at + n * (SIG_BITS // 8))
-    return sig, uid[doc], size[doc], floor[doc]
+    return sig, doc.copy(), uid.copy(), size.copy(), floor.copy()  # not the whole of raw with them
 
 
 #: A class: the 128-bit hash of its set, in two halves; big-endian, so that they sort as their bytes do.
@@ -322,7 +322,7 @@ def _signed(docs: DataFrame, key: str, text: str, n: int, num: int, den: int) ->
             sig = sigs[keep]
             ends = np.cumsum([len(x[0]) for x in got])
             picked = [keep[e - len(x[0]) : e] for x, e in zip(got, ends, strict=True)]
-            uid, size, floor = (np.concatenate([x[k][p] for x, p in zip(got, picked, strict=True)]) for k in (1, 2, 3))
+            uid, size, floor = (np.concatenate([x[k][x[1][p]] for x, p in zip(got, picked, strict=True)]) for k in (2, 3, 4))
             got.clear()
             order = np.lexsort((uid["low"], uid["high"], sig))
             sig, uid, size, floor = sig[order], uid[order], size[order].astype("i8"), floor[order].astype("i8")
@@ -512,7 +512,9 @@ def _mixed(entries: DataFrame, label: DataFrame) -> DataFrame:
     signature's entries (crowd)."""
     named = label.select(F.col("node").alias("uid"), "label")
     labelled = entries.select("uid", "n", "floor", "sig").join(maybe_broadcast(named, label.count(), 48), "uid", "left").withColumn("label", F.coalesce("label", "uid"))
-    several = labelled.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("crowd")).where("low < high").select("sig", "crowd")
+    # labels differ if one of two hashes does: longs, unlike bytes, are aggregated by hash
+    x, y = F.xxhash64("label"), F.xxhash64(F.lit(1), "label")
+    several = labelled.groupBy("sig").agg(F.min(x).alias("a"), F.max(x).alias("b"), F.min(y).alias("c"), F.max(y).alias("d"), F.count("*").alias("crowd")).where("a < b or c < d").select("sig", "crowd")
     return written(labelled.join(several, "sig"), "join-mixed")
 
 
@@ -594,9 +596,9 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: in
             break
         links = links.unionByName(more)
         label = written(components(links), "join-labels")
-        mixed = _mixed(mixed, label)
         if more.count() * 10 < hot.select("uid").distinct().count():  # the crowds are not of near copies
             break
+        mixed = _mixed(mixed, label)
 
     # what several components still share, whole
     pairs, hot = written(_pairs(mixed, num, den), "join-pairs"), written(_rarest(mixed), "join-crowds")
