@@ -1,12 +1,14 @@
 """License scan by a positional rare-token index. DataFrame functions only.
 
-Each template is a word sequence with a mandatory key phrase. The index maps every rare template
-word (inverse template frequency at or above ``min_idf``) to its postings (template, offset). A file
-is looked up by the rare words it holds; a posting at offset o and a word at position p vote for the
-alignment p - o, and an alignment counts when the key phrase stands in it word for word and the
-idf-weighted share of the template's words found in place reaches ``min_coverage``.
+Each template is a word sequence with a mandatory key phrase. The index posts a template's words of the highest
+inverse template frequency, as few as leave the others less than ``min_coverage`` of its weight, so that every
+match has a posted word in place. A file is looked up by the posted words it holds: a posting at offset o
+and a word at position p vote for the alignment p - o, postings of one template that agree give one alignment,
+and it counts when the key phrase stands in it word for word and the idf-weighted share of the template's words
+found in place reaches ``min_coverage``.
 
-Everything is computed within a row, so the scan has no shuffle, and no row can meet a hot key.
+Everything is computed within a row, so the scan has no shuffle, and no row can meet a hot key. The work on a text
+grows with its words and its alignments.
 
 Defined results: a null or empty text has no words and no match; repeated rows are each scanned;
 an empty table gives an empty result; columns of the input that are not named are left out.
@@ -16,7 +18,9 @@ from __future__ import annotations
 
 import math
 import re
+import string
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,7 +37,7 @@ BASE = (
     ("mit license", "mit"),
 )
 
-#: (label, mandatory key phrase, notice). Short public notices in use today.
+#: (label, mandatory key phrase, notice). Public notices in use today, the last ones first sentences of licence texts.
 NOTICES = (
     ("gpl-notice", "gnu general public license", "licensed under the gnu general public license"),
     ("apache-2.0", "apache license version 2 0", "licensed under the apache license version 2 0"),
@@ -49,6 +53,11 @@ NOTICES = (
     ("isc", "isc license", "released under the isc license"),
     ("unlicense", "released into the public domain", "free and unencumbered software released into the public domain"),
     ("proprietary", "all rights reserved", "copyright all rights reserved"),
+    ("mit-text", "permission is hereby granted free of charge", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),
+    ("bsd-text", "redistribution and use in source and binary forms", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("apache-text", "you may not use this file except in compliance with the license", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
+    ("gpl-text", "you can redistribute it and or modify it", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
+    ("isc-text", "permission to use copy modify and or distribute this software", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
 )
 
 
@@ -77,58 +86,53 @@ def idf(templates: list[Template]) -> dict[str, float]:
     return {w: math.log((1 + len(own)) / (1 + sum(w in t.words for t in own))) + 0.1 for w in words}
 
 
-def _array(values, kind: str) -> Column:
-    return F.array(*[F.lit(v) for v in values]).cast(f"array<{kind}>")
+def posted(t: Template, weight: dict[str, float], min_coverage: float) -> list[int]:
+    """Positions of the template's words of highest weight: the others together cannot reach the coverage."""
+    rest, out = sum(weight[w] for w in t.words), []
+    least = min_coverage * rest
+    for i in sorted(range(len(t.words)), key=lambda i: (-weight[t.words[i]], i)):
+        if out and rest < least - 1e-9:
+            break
+        out.append(i)
+        rest -= weight[t.words[i]]
+    return sorted(out)
 
 
-def license_scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), templates: list[Template] | None = None, min_idf: float = 0.5, min_coverage: float = 0.6) -> DataFrame:
+def license_scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), templates: list[Template] | None = None, min_coverage: float = 0.6) -> DataFrame:
     """keep columns, n_words, and matches array<struct<label, base, start, at, coverage>>, where start
     is the alignment, at the word at which the key phrase starts."""
     templates = templates or catalogue()
     weight = idf(templates)
-    postings: dict[str, list[tuple[int, int]]] = {}
-    for k, t in enumerate(templates):
-        rare = [i for i, w in enumerate(t.words) if weight[w] >= min_idf and t.key_at <= i < t.key_at + len(t.key)]
-        best = max(weight[w] for w in t.key)
-        for i in rare or [i for i, w in enumerate(t.words) if weight[w] == best and t.key_at <= i < t.key_at + len(t.key)][:1]:
-            postings.setdefault(t.words[i], []).append((k, i))
-    # Lossless: every posting's word must occur, so a file without any of them has no alignment.
-    some = r"(?i)(?<![0-9a-z])(?:" + "|".join(re.escape(w) for w in sorted(postings)) + r")(?![0-9a-z])"
-    index = F.create_map(*[x for w, ps in sorted(postings.items()) for x in (F.lit(w), F.array(*[F.struct(F.lit(k).alias("t"), F.lit(i).alias("o")) for k, i in ps]))])
-    catalog = F.array(
-        *[
-            F.struct(
-                F.lit(t.label).alias("label"),
-                F.lit(t.base).alias("base"),
-                _array(t.words, "string").alias("words"),
-                _array([weight[w] for w in t.words], "double").alias("idf"),
-                F.lit(float(sum(weight[w] for w in t.words))).alias("total"),
-                F.lit(t.key_at).alias("key_at"),
-                _array(t.key, "string").alias("key"),
-            )
-            for t in templates
-        ]
-    )
+    postings = [posted(t, weight, min_coverage) for t in templates]
+    rare = sorted({t.words[i] for t, at in zip(templates, postings, strict=True) for i in at})
+    # Lossless: every match has a posted word, so a file without any of them has none.
+    some = r"(?i)(?<![0-9a-z])(?:" + "|".join(re.escape(w) for w in rare) + r")(?![0-9a-z])"
+    kind = "array<struct<label:string,base:boolean,start:int,at:int,coverage:double>>"
     rows = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    rows = rows.select(*keep, F.regexp_extract_all(F.lower("_text"), F.lit(WORD), F.lit(0)).alias("_words"), F.col("_text").rlike(some).alias("_some"))
-    rare_words = _array(sorted(postings), "string")
-    found = F.filter(F.transform("_words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_contains(rare_words, x["w"]))
-    voted = F.array_distinct(F.flatten(F.transform(found, lambda x: F.transform(F.element_at(index, x["w"]), lambda p: F.struct(p["t"].alias("t"), (x["i"] - p["o"]).alias("start"))))))
-
-    def judged(c: Column) -> Column:
-        t = F.element_at(catalog, c["t"] + 1)
-        at = c["start"] + t["key_at"]
-        share = F.aggregate(
-            F.zip_with(F.transform(t["words"], lambda w, j: F.when(F.try_element_at(F.col("_words"), F.when(c["start"] + j >= 0, c["start"] + j + 1)) == w, 1.0).otherwise(0.0)), t["idf"], lambda hit, x: hit * x),
-            F.lit(0.0),
-            lambda a, x: a + x,
-        )
-        key_there = F.when(at >= 0, F.slice("_words", F.greatest(at + 1, F.lit(1)), F.size(t["key"])) == t["key"]).otherwise(False)
-        return F.struct(t["label"].alias("label"), t["base"].alias("base"), c["start"].alias("start"), at.alias("at"), F.when(key_there, F.least(share / t["total"], F.lit(1.0))).otherwise(0.0).alias("coverage"))
-
-    matches = F.filter(F.transform(voted, judged), lambda m: m["coverage"] >= min_coverage)
-    none = F.lit(None).cast("array<struct<label:string,base:boolean,start:int,at:int,coverage:double>>")
-    return rows.select(*keep, F.size("_words").cast("long").alias("n_words"), F.coalesce(F.when(F.col("_some"), matches).otherwise(none), F.array().cast("array<struct<label:string,base:boolean,start:int,at:int,coverage:double>>")).alias("matches"))
+    lower = F.translate("_text", string.ascii_uppercase, string.ascii_lowercase)
+    rows = rows.select(*keep, F.regexp_extract_all(lower, F.lit(WORD), F.lit(0)).alias("_words"), F.col("_text").rlike(some).alias("_some"))
+    words = F.col("_words")
+    # the index of the text: for each posted word its places
+    place = F.filter(F.transform(words, lambda w, i: F.when(w.isin(rare), F.struct(w.alias("w"), i.alias("i")))), lambda x: x.isNotNull())
+    rows = rows.select(*keep, "_words", F.when(F.col("_some"), place).alias("_found"))
+
+    def votes(word: str, offset: int) -> Column:
+        return F.transform(F.filter("_found", lambda x: x["w"] == word), lambda x: x["i"] - F.lit(offset))
+
+    def matches(t: Template, at: list[int]) -> Column:
+        starts = F.array_distinct(F.concat(*[votes(t.words[i], i) for i in at]))
+        total = float(sum(weight[w] for w in t.words))
+
+        def judged(s: Column) -> Column:
+            there = [F.coalesce(F.get(words, s + j) == w, F.lit(False)) for j, w in enumerate(t.words)]
+            key = reduce(lambda a, b: a & b, there[t.key_at : t.key_at + len(t.key)])
+            share = reduce(lambda a, b: a + b, [F.when(c, F.lit(weight[w])).otherwise(F.lit(0.0)) for c, w in zip(there, t.words, strict=True)])
+            return F.struct(F.lit(t.label).alias("label"), F.lit(t.base).alias("base"), s.alias("start"), (s + t.key_at).alias("at"), F.when(key, F.least(share / total, F.lit(1.0))).otherwise(F.lit(0.0)).alias("coverage"))
+
+        return F.filter(F.transform(starts, judged), lambda m: m["coverage"] >= min_coverage)
+
+    found = F.concat(*[matches(t, at) for t, at in zip(templates, postings, strict=True)]).cast(kind)
+    return rows.select(*keep, F.size("_words").cast("long").alias("n_words"), F.when(F.size("_found") > 0, found).otherwise(F.array().cast(kind)).alias("matches"))
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

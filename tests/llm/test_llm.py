@@ -185,6 +185,34 @@ def test_license_places(spark, sf):
         assert all(0 <= m.coverage <= 1 for m in r.matches)
 
 
+def test_license_added_labels(spark, sf):
+    """All matches, of every template, against each alignment tried in a loop; and a text of 200,000 matching words."""
+    rnd = random.Random(3)
+    templates = license_scan.catalogue()
+    weight = license_scan.idf(templates)
+    texts = []
+    for _ in range(60):
+        w = []
+        for _ in range(rnd.randint(1, 4)):
+            own = list(rnd.choice(templates).words)
+            for _ in range(rnd.choice([0, 0, 1, 3])):
+                own[rnd.randrange(len(own))] = rnd.choice(["x", "license", "mit", "É"])
+            w += own[rnd.choice([0, 0, 1]) :] + ["and"] * rnd.randint(0, 2)
+        texts.append(" ".join(w).upper() if rnd.random() < 0.2 else ", ".join(w))
+    for r in license_scan.license_scan(docs(spark, texts)).collect():
+        w = re.findall(license_scan.WORD, re.sub("[A-Z]", lambda m: m[0].lower(), texts[r.doc_id]))
+        want = set()
+        for t in templates:
+            for s in range(-len(t.words), len(w)):
+                there = [0 <= s + j < len(w) and w[s + j] == x for j, x in enumerate(t.words)]
+                share = sum(weight[x] for x, ok in zip(t.words, there, strict=True) if ok) / sum(weight[x] for x in t.words)
+                if all(there[t.key_at : t.key_at + len(t.key)]) and share >= 0.6:
+                    want.add((t.label, s, s + t.key_at, round(min(1.0, share), 9)))
+        assert {(m.label, m.start, m.at, round(m.coverage, 9)) for m in r.matches} == want and len(r.matches) == len(want)
+    long = license_scan.license_scan(docs(spark, ["mit license " * 100_000])).collect()[0]
+    assert long.n_words == 200_000 and sum(m.label == "mit" for m in long.matches) == 100_000
+
+
 def brute_pii(t):
     out = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [("ip", m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
