@@ -1,27 +1,34 @@
 """Toxicity by a support vector machine over a subsequence string kernel with Nystrom landmarks.
 
 The kernel compares two words by their common letter triples, in order but with gaps, each weighted
-by ``DECAY`` to the length it spans (up to ``SPAN`` letters), normalised to 1 for equal words. Inserted
-characters thus cost some weight only. A sentence is compared with a landmark by its best word, a
-document by its best sentence: one insult in a long text counts in full. Letters spelled one by one are
-read as one word, signs inside words are left out, and common digit-for-letter swaps are undone.
+by ``DECAY`` to the length it spans (up to ``SPAN`` letters), normalised to 1 for equal words; values under
+``NEAR`` count as 0. Inserted characters thus cost some weight only. Letters spelled one by one are read as one
+word, signs inside words are left out, and common digit-for-letter swaps are undone.
+
+A text is split into sentences. A sentence is compared with a landmark by its best word, and a document scores as its
+best sentence: one insult in a long text counts in full, and what is said in other sentences adds nothing.
 
 Landmarks are the ``LANDMARKS`` words and beginnings of words (``PREFIX`` letters) whose document
 frequency differs most (chi-square) between the labelled classes, and ``COMMON`` words of clean text:
 of the frequent ones, those most like the former. Kernel values to them, times the inverse
 root of the landmarks' own kernel matrix, are the Nystrom features of a linear machine (squared hinge,
-Newton steps), whose margin becomes a probability by a logistic fit on the same training rows.
+Newton steps). It is trained on sentences: those of clean documents are clean; of a toxic document the one sentence that
+the machine of the last of ``TURNS`` turns scores highest is toxic, at first the one nearest to the landmarks. The
+best sentence's margin becomes a probability by a logistic fit on the same documents.
 
-Fitting takes at most about ``PER_CLASS`` labelled rows a class, drawn by hash (a documented bound);
-scoring covers every word of every text.
+Fitting takes at most about ``PER_CLASS`` labelled rows a class, drawn by hash, and of each at most ``SENTENCES``
+different sentences, those nearest to landmarks (documented bounds); scoring covers every word of every text.
 
 Defined results: null and empty texts score as texts without any known word. Without labels of both
 classes every text scores 0 (or 1, if only toxic rows were labelled). Null labels teach nothing; of
-conflicting labels the larger counts. Repeated rows and null ids are each scored; empty tables give no rows.
+conflicting labels the larger counts. Texts of equal sentences score alike; repeated rows and null ids are each scored;
+empty tables give no rows.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -40,6 +47,8 @@ COMMON = 64
 FREQUENT = 20_000
 PREFIX = (4, 5, 6, 7, 8)
 PER_CLASS = 6_000
+SENTENCES = 16
+TURNS = 3
 LONG = 24
 MEMO = 300_000
 
@@ -47,6 +56,7 @@ MEMO = 300_000
 SWAPS = str.maketrans("013457@$", "oieastas")
 
 _STARTS = {}
+_SENTENCE = re.compile(r"[.!?]+\s+|\n+")
 
 
 def words_of(text: str | None) -> set[str]:
@@ -154,12 +164,14 @@ class Kernel:
 
 
 class Features:
-    """Best kernel value to each landmark over a text's words; MEMO bounds what is remembered."""
+    """Of texts the kernel values of their sentences; MEMO bounds what is remembered."""
 
     def __init__(self, kernel: Kernel):
         self.kernel, self.seen, self.rows = kernel, set(), {}
 
-    def batch(self, texts: list[str | None]) -> np.ndarray:
+    def batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(text, best value to each landmark) of the different sentences that are near some landmark. A word
+        that is near none adds nothing, so a text's other sentences are all alike: no value at all."""
         split = [words_of(t) for t in texts]
         if len(self.seen) > MEMO:
             self.seen, self.rows = set(), {}
@@ -167,22 +179,34 @@ class Features:
         at, values = self.kernel.near(new)
         self.rows.update((new[i], v) for i, v in zip(at, values, strict=True))
         self.seen.update(new)
-        out = np.zeros((len(texts), len(self.kernel.landmarks)), np.float32)
-        for i, ws in enumerate(split):
-            for w in self.rows.keys() & ws:
-                np.maximum(out[i], self.rows[w], out=out[i])
-        return out
+        owner, found = [], []
+        for i, (t, ws) in enumerate(zip(texts, split, strict=True)):
+            near = self.rows.keys() & ws
+            if not near:
+                continue
+            if len(near) == 1:  # whichever sentence holds it
+                sentences = {frozenset(near)}
+            else:
+                sentences = {frozenset(near & words_of(x)) for x in _SENTENCE.split(t)} - {frozenset()}
+                # a spelled word may go over a sentence's end
+                sentences |= {frozenset([w]) for w in near - frozenset().union(*sentences)}
+            for x in sorted(sentences, key=sorted):
+                owner.append(i)
+                found.append(np.maximum.reduce([self.rows[w] for w in x]))
+        return np.array(owner, np.int64), np.array(found, np.float32).reshape(len(owner), len(self.kernel.landmarks))
 
 
 def _logistic(m: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Probability of y as a logistic function of the margin, by Newton steps on smoothed targets."""
+    """Probability of y as a logistic function of the margin, by Newton steps on smoothed targets. The rarer class weighs
+    more, by the root of its rarity: the share of toxic rows among the labelled ones is not that of the corpus."""
     pos, neg = (y > 0).sum(), (y <= 0).sum()
     t = np.where(y > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
+    each = np.sqrt(np.where(y > 0, len(y) / (2 * pos), len(y) / (2 * neg)))
     a, b = 1.0, 0.0
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a * m + b, -30, 30)))
-        w = np.maximum(p * (1 - p), 1e-9)
-        g = np.array([((p - t) * m).sum() + 1e-3 * a, (p - t).sum()])
+        w = np.maximum(each * p * (1 - p), 1e-9)
+        g = np.array([(each * (p - t) * m).sum() + 1e-3 * a, (each * (p - t)).sum()])
         h = np.array([[(w * m * m).sum() + 1e-3, (w * m).sum()], [(w * m).sum(), w.sum() + 1e-6]])
         step = np.linalg.solve(h, g)
         a, b = a - step[0], b - step[1]
@@ -192,8 +216,10 @@ def _logistic(m: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 class ToxicityModel:
-    def __init__(self, landmarks: list[str]):
-        self.kernel = Kernel(landmarks)
+    """The first landmarks (telling) are those of toxic text; all, if not given."""
+
+    def __init__(self, landmarks: list[str], telling: int | None = None):
+        self.kernel, self.telling = Kernel(landmarks), telling
         own = np.zeros((len(landmarks), len(landmarks)))
         at, values = self.kernel.near(landmarks)
         if len(at):
@@ -203,32 +229,56 @@ class ToxicityModel:
         self.root = v @ np.diag(1 / np.sqrt(np.maximum(e, 1e-3))) @ v.T
         self.w, self.a, self.b = np.zeros(len(landmarks) + 1), 0.0, -40.0
 
-    def fit(self, k: np.ndarray, y: np.ndarray, c: float = 1.0) -> None:
-        """k: kernel values to the landmarks, y: 1 toxic, 0 clean. Classes weigh alike."""
-        s = np.where(y > 0, 1.0, -1.0)
-        if len(set(s.tolist())) < 2:
-            self.b = 40.0 if len(s) and s[0] > 0 else -40.0
+    def fit(self, owner: np.ndarray, k: np.ndarray, y: np.ndarray, c: float = 1.0) -> None:
+        """y: 1 toxic, 0 clean, of documents; owner, k: their sentences' kernel values. Classes weigh alike."""
+        y = np.asarray(y)
+        if len(set(y.tolist())) < 2:
+            self.b = 40.0 if len(y) and y[0] > 0 else -40.0
             return
+        # every document also has a sentence without any value
+        owner, k = np.concatenate([owner, np.arange(len(y))]), np.concatenate([k, np.zeros((len(y), k.shape[1]))])
         x = np.c_[k @ self.root, np.ones(len(k))]
-        weight = c * np.where(s > 0, len(s) / (2 * (s > 0).sum()), len(s) / (2 * (s < 0).sum()))
-        reg = np.eye(x.shape[1])
-        reg[-1, -1] = 1e-6
-        w = np.zeros(x.shape[1])
-        for _ in range(40):
-            active = s * (x @ w) < 1
-            xa, wa = x[active], weight[active]
-            new = np.linalg.solve(reg + (xa * wa[:, None]).T @ xa, (xa * (wa * s[active])[:, None]).sum(axis=0))
-            if np.abs(new - w).max() < 1e-6:
-                break
-            w = new
-        self.w = w
-        self.a, self.b = _logistic(x @ w, y)
-
-    def score(self, k: np.ndarray) -> np.ndarray:
-        m = np.c_[k @ self.root, np.ones(len(k))] @ self.w
+        margin = k[:, : self.telling].sum(axis=1)
+        for _ in range(TURNS):
+            best = _best(owner, margin, len(y))
+            rows = np.concatenate([best[y > 0], np.flatnonzero(y[owner] == 0)])
+            # a clean document's sentences weigh as one
+            share = 1 / np.bincount(owner, minlength=len(y))[owner[rows]]
+            share[y[owner[rows]] > 0] = 1.0
+            self.w = _machine(x[rows], np.where(y[owner[rows]] > 0, 1.0, -1.0), share, c)
+            margin = x @ self.w
+        self.a, self.b = _logistic(margin[_best(owner, margin, len(y))], y)
+
+    def score(self, owner: np.ndarray, k: np.ndarray, n: int) -> np.ndarray:
+        """Of n texts, from their sentences' kernel values."""
+        m = np.full(n, self.w[-1])
+        if len(owner):
+            np.maximum.at(m, owner, np.c_[k @ self.root, np.ones(len(k))] @ self.w)
         return 1 / (1 + np.exp(-np.clip(self.a * m + self.b, -40, 40)))
 
 
+def _best(owner: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
+    """Of each document (all have a sentence) its sentence of the largest value, the first on ties."""
+    order = np.lexsort((np.arange(len(owner)), -value, owner))
+    return order[np.searchsorted(owner[order], np.arange(n))]
+
+
+def _machine(x: np.ndarray, s: np.ndarray, share: np.ndarray, c: float) -> np.ndarray:
+    """Weights of a linear machine of squared hinge, by Newton steps; s: 1 or -1; share: weights within a class."""
+    weight = c * share * np.where(s > 0, share.sum() / (2 * share[s > 0].sum()), share.sum() / (2 * share[s < 0].sum()))
+    reg = np.eye(x.shape[1])
+    reg[-1, -1] = 1e-6
+    w = np.zeros(x.shape[1])
+    for _ in range(40):
+        active = s * (x @ w) < 1
+        xa, wa = x[active], weight[active]
+        new = np.linalg.solve(reg + (xa * wa[:, None]).T @ xa, (xa * (wa * s[active])[:, None]).sum(axis=0))
+        if np.abs(new - w).max() < 1e-6:
+            return new
+        w = new
+    return w
+
+
 def _apart(words: list[str], most: int) -> list[str]:
     """The first words of a ranking that are not nearly the same as an earlier one."""
     if not words:
@@ -280,18 +330,27 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     frequent = [r["word"] for r in words.where((cross <= 0) & F.col("word").endswith(">")).orderBy(b.desc(), "word").limit(FREQUENT).collect()]
     at, values = Kernel(telling).near(frequent) if telling else (np.array([], np.int64), np.zeros((0, 0)))
     alike = [frequent[at[i]] for i in np.argsort(-values.sum(axis=1), kind="stable")[:COMMON]]
-    model = ToxicityModel(telling + alike)
+    model = ToxicityModel(telling + alike, len(telling))
     held = docs.sparkSession.sparkContext.broadcast(model.kernel.landmarks)
 
+    first = len(telling)
+
     def features(batches):
         f = Features(Kernel(held.value))
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
-                k = f.batch(batch.column(0).slice(i, 256).to_pylist())
-                yield pa.RecordBatch.from_arrays([pa.array(k.tolist(), pa.list_(pa.float32())), batch.column(1).slice(i, 256)], names=["k", "y"])
-
-    got = drawn.mapInArrow(lean(features), "k array<float>, y int").collect()  # at most two times PER_CLASS rows
-    model.fit(np.array([r["k"] for r in got], float).reshape(len(got), len(model.kernel.landmarks)), np.array([int(r["y"] > 0) for r in got]))
+                part = batch.slice(i, 256)
+                owner, k = f.batch(part.column(0).to_pylist())
+                keep = [[] for _ in range(part.num_rows)]
+                for j in np.argsort(-k[:, :first].sum(axis=1), kind="stable"):
+                    if len(keep[owner[j]]) < SENTENCES:
+                        keep[owner[j]].append(k[j].tolist())
+                yield pa.RecordBatch.from_arrays([pa.array(keep, pa.list_(pa.list_(pa.float32()))), part.column(1)], names=["k", "y"])
+
+    # at most two times PER_CLASS rows; in an order of their own, as sums depend on it
+    got = sorted(drawn.mapInArrow(lean(features), "k array<array<float>>, y int").collect())
+    owner = np.repeat(np.arange(len(got)), [len(r["k"]) for r in got])
+    model.fit(owner, np.array([x for r in got for x in r["k"]], float).reshape(len(owner), len(model.kernel.landmarks)), np.array([int(r["y"] > 0) for r in got]))
     return model
 
 
@@ -308,9 +367,12 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text", keep: tuple
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 some = b.slice(i, 256)
-                k = f.batch(some.column(0).to_pylist())
-                near = [[m.kernel.landmarks[j] for j in np.flatnonzero(r)] for r in k]
-                yield pa.RecordBatch.from_arrays([*some.columns[1:], pa.array(m.score(k), pa.float64()), pa.array(near, pa.list_(pa.string()))], names=schema.names)
+                owner, k = f.batch(some.column(0).to_pylist())
+                near: list[set[int]] = [set() for _ in range(some.num_rows)]
+                for o, r in zip(owner, k, strict=True):
+                    near[o].update(np.flatnonzero(r).tolist())
+                names = [[m.kernel.landmarks[j] for j in sorted(x)] for x in near]
+                yield pa.RecordBatch.from_arrays([*some.columns[1:], pa.array(m.score(owner, k, some.num_rows), pa.float64()), pa.array(names, pa.list_(pa.string()))], names=schema.names)
 
     return rows.mapInArrow(lean(run), schema)
 
