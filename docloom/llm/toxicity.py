@@ -47,7 +47,7 @@ COMMON = 64
 FREQUENT = 20_000
 PREFIX = (4, 5, 6, 7, 8)
 PER_CLASS = 6_000
-SENTENCES = 16
+SENTENCES = 8
 TURNS = 3
 LONG = 24
 MEMO = 300_000
@@ -236,8 +236,8 @@ class ToxicityModel:
             self.b = 40.0 if len(y) and y[0] > 0 else -40.0
             return
         # every document also has a sentence without any value
-        owner, k = np.concatenate([owner, np.arange(len(y))]), np.concatenate([k, np.zeros((len(y), k.shape[1]))])
-        x = np.c_[k @ self.root, np.ones(len(k))]
+        owner, k = np.concatenate([owner, np.arange(len(y))]), np.concatenate([k, np.zeros((len(y), k.shape[1]), np.float32)])
+        x = np.c_[k @ self.root, np.ones(len(k))].astype(np.float32)
         margin = k[:, : self.telling].sum(axis=1)
         for _ in range(TURNS):
             best = _best(owner, margin, len(y))
@@ -344,13 +344,14 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
                 keep = [[] for _ in range(part.num_rows)]
                 for j in np.argsort(-k[:, :first].sum(axis=1), kind="stable"):
                     if len(keep[owner[j]]) < SENTENCES:
-                        keep[owner[j]].append(k[j].tolist())
-                yield pa.RecordBatch.from_arrays([pa.array(keep, pa.list_(pa.list_(pa.float32()))), part.column(1)], names=["k", "y"])
-
-    # at most two times PER_CLASS rows; in an order of their own, as sums depend on it
-    got = sorted(drawn.mapInArrow(lean(features), "k array<array<float>>, y int").collect())
-    owner = np.repeat(np.arange(len(got)), [len(r["k"]) for r in got])
-    model.fit(owner, np.array([x for r in got for x in r["k"]], float).reshape(len(owner), len(model.kernel.landmarks)), np.array([int(r["y"] > 0) for r in got]))
+                        keep[owner[j]].append(k[j].astype("<f4").tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([b"".join(x) for x in keep], pa.binary()), part.column(1)], names=["k", "y"])
+
+    # at most two times PER_CLASS rows, a few KB each; in an order of their own, as sums depend on it
+    got = sorted((bytes(r["k"]), int(r["y"] > 0)) for r in drawn.mapInArrow(lean(features), "k binary, y int").collect())
+    k = np.frombuffer(b"".join(x for x, _ in got), "<f4").reshape(-1, max(1, len(model.kernel.landmarks)))
+    owner = np.repeat(np.arange(len(got)), [len(x) // (4 * k.shape[1]) for x, _ in got])
+    model.fit(owner, k[:, : len(model.kernel.landmarks)], np.array([y for _, y in got]))
     return model
 
 
