@@ -518,6 +518,11 @@ def _mixed(entries: DataFrame, label: DataFrame) -> DataFrame:
     return written(labelled.join(several, "sig"), "join-mixed")
 
 
+def _joined(label: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels after further links: a component's stars stand for the links that made it."""
+    return written(components(label.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(links)), "join-labels")
+
+
 def _drawn(hot: DataFrame, turn: int, num: int, den: int) -> DataFrame:
     """a, b: each class with the class of another component that its signatures drew, the one of most common ones."""
     drawn = hot.groupBy("sig").agg(F.min_by(F.struct("uid", "n", "floor", "label"), F.xxhash64("uid", F.lit(turn))).alias("d"))
@@ -586,16 +591,14 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: in
         drop(pairs, texts)
         return found
 
-    links = verified(_best(entries, num, den))
-    label = written(components(links), "join-labels")
+    label = written(components(verified(_best(entries, num, den))), "join-labels")
     mixed = _mixed(entries, label)
     for turn in range(STARS):
         hot = mixed.where(F.col("crowd") > CROWD)
         more = verified(_drawn(hot, turn, num, den)) if hot.head(1) else hot
         if not more.head(1):
             break
-        links = links.unionByName(more)
-        label = written(components(links), "join-labels")
+        label = _joined(label, more)
         if more.count() * 10 < hot.select("uid").distinct().count():  # the crowds are not of near copies
             break
         mixed = _mixed(mixed, label)
@@ -606,7 +609,7 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: in
     more = verified(pairs)
     more = more.unionByName(written(_met(written(crowds, "join-crowds"), members, docs, key, text, n, num, den), "join-links"))
     if more.head(1):
-        label = written(components(links.unionByName(more)), "join-labels")
+        label = _joined(label, more)
 
     classes = members.where("uid is not null").groupBy("uid").agg(F.min("key").alias("low"))
     classes = classes.join(label.select(F.col("node").alias("uid"), "label"), "uid", "left").select("uid", "low", F.coalesce("label", "uid").alias("label"))
