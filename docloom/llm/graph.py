@@ -1,20 +1,22 @@
 """Connected components of a link table, by alternating large and small stars over local forests.
 
 Every step is a join and a partial aggregate; no node's neighbours are ever gathered. As a round's edges are
-written, each task replaces every ``FOREST`` nodes' worth of them by the stars of their own components, as a
+written, every ``FOREST`` of them, which stand in one task, are replaced by the stars of their own components, as a
 combiner does: less is shuffled, and few rounds are needed. Each round is a written table in the shared
 folder. The rounds end when the edges are stars around their smallest node, no later than after a number that
 grows with the logarithm of the largest component's diameter."""
 
 from __future__ import annotations
 
+import math
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop, lean, written
 
-#: Nodes that a task holds at once.
+#: Edges for a task, and nodes that it holds at once.
 FOREST = 200_000
 
 
@@ -46,8 +48,11 @@ def _forest(batches):
 
 
 def _packed(edges: DataFrame) -> DataFrame:
-    """u > v: the distinct edges, each task's as stars of its own components."""
-    return written(edges.distinct().mapInArrow(lean(_forest), edges.schema), "cc")
+    """u > v: the edges, each task's as stars of its own components. Tasks follow the number of edges."""
+    held = written(edges, "cc-round")
+    out = written(held.coalesce(math.ceil(held.count() / FOREST) or 1).mapInArrow(lean(_forest), edges.schema), "cc")
+    drop(held)
+    return out
 
 
 def _stars(edges: DataFrame) -> bool:
@@ -68,6 +73,6 @@ def components(links: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         small = small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        last, edges = edges, _packed(small.unionByName(low.select("u", F.col("m").alias("v"))))
+        last, edges = edges, _packed(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         drop(last)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())

@@ -519,8 +519,13 @@ def _mixed(entries: DataFrame, label: DataFrame) -> DataFrame:
 
 
 def _joined(label: DataFrame, links: DataFrame) -> DataFrame:
-    """The labels after further links: a component's stars stand for the links that made it."""
-    return written(components(label.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(links)), "join-labels")
+    """The labels (node, label) after further links, which are drawn between components: the label stands for its nodes."""
+    to = label.select(F.col("node").alias("a"), F.col("label").alias("x"))
+    ends = links.join(to, "a", "left").join(to.select(F.col("a").alias("b"), F.col("x").alias("y")), "b", "left")
+    up = written(components(ends.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))), "join-raised")
+    raised = label.join(up.select(F.col("node").alias("label"), F.col("label").alias("up")), "label", "left")
+    out = raised.select("node", F.coalesce("up", "label").alias("label")).unionByName(up.join(label, "node", "left_anti"))
+    return written(out, "join-labels")
 
 
 def _drawn(hot: DataFrame, turn: int, num: int, den: int) -> DataFrame:
