@@ -22,9 +22,9 @@ hash part. The links are then found among classes:
 1. every class is compared with one partner, the one of most shared signatures among each signature's
    first class; what is similar is one component from then on;
 2. signatures that still more than ``CROWD`` classes of several components share draw a class each, and every
-   class is compared with the drawn one of another component with which it shares most, in up to ``STARS`` rounds
-   while that links a tenth of them;
-3. what signatures still share across components is compared whole. A pair has at least the smaller of
+   class is compared with the drawn one of another component with which it shares most; the signatures of which a tenth
+   stands in components that grew by it draw again, in up to ``STARS`` rounds;
+3. what signatures still share across components, as these stand by then, is compared whole. A pair has at least the smaller of
    two promised numbers of common signatures. Pairs are counted where signatures are not crowded; what
    crowded ones could add to the count is granted. Of crowded signatures a class keeps those among its
    rarest, as many as leave no pair without a common one; its classes meet block by block, in tasks
@@ -80,6 +80,8 @@ CELL_SHINGLES = 300_000
 #: So many pairs that meet in a block cost as much as a text sent there.
 MEETS = 128
 STARS = 3
+#: A further round for so many classes costs more than to compare them whole.
+FEW = 1_000
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _U = np.uint64
@@ -528,9 +530,33 @@ def _joined(label: DataFrame, links: DataFrame) -> DataFrame:
     return written(out, "join-labels")
 
 
+def _labelled(rows: DataFrame, label: DataFrame, uid: str = "uid", name: str = "label") -> DataFrame:
+    """Rows with the component of their class (uid) as it stands now."""
+    to = label.select(F.col("node").alias(uid), F.col("label").alias(name))
+    return rows.drop(name).join(maybe_broadcast(to, label.count(), 48), uid, "left").withColumn(name, F.coalesce(name, uid))
+
+
+def _several(crowds: DataFrame, label: DataFrame, grown: DataFrame | None = None) -> DataFrame:
+    """sig, uid, n, label of the signatures that several components still have, with the labels as they stand now; with
+    ``grown`` (label), only of those that at least a tenth of their entries' components are among."""
+    rows = _labelled(crowds.select("sig", "uid", "n"), label).withColumn("grown", F.lit(1))
+    if grown is not None:
+        few = maybe_broadcast(grown.select("label", F.lit(1).alias("grown")), grown.count(), 32)
+        rows = rows.drop("grown").join(few, "label", "left")
+    rows = written(rows, "join-relabelled")
+    x, y = F.xxhash64("label"), F.xxhash64(F.lit(1), "label")
+    met = rows.groupBy("sig").agg(F.min(x).alias("a"), F.max(x).alias("b"), F.min(y).alias("c"), F.max(y).alias("d"), F.count("*").alias("all"), F.count("grown").alias("grown"))
+    return rows.join(met.where("(a < b or c < d) and 10 * grown >= all").select("sig"), "sig", "left_semi").select("sig", "uid", "n", "label")
+
+
+def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose components still differ."""
+    return _labelled(_labelled(pairs, label, "a", "x"), label, "b", "y").where("x <> y").select("a", "b")
+
+
 def _drawn(hot: DataFrame, turn: int, num: int, den: int) -> DataFrame:
     """a, b: each class with the class of another component that its signatures drew, the one of most common ones."""
-    drawn = hot.groupBy("sig").agg(F.min_by(F.struct("uid", "n", "floor", "label"), F.xxhash64("uid", F.lit(turn))).alias("d"))
+    drawn = hot.groupBy("sig").agg(F.min_by(F.struct("uid", "n", "label"), F.xxhash64("uid", F.lit(turn))).alias("d"))
     met = hot.join(drawn, "sig").where(F.col("label") != F.col("d.label"))
     return _best(met.select("uid", "n", F.lit(0).alias("floor"), F.col("d.uid").alias("b_uid"), F.col("d.n").alias("b_n"), F.lit(0).alias("b_floor")), num, den)
 
@@ -598,19 +624,30 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: in
 
     label = written(components(verified(_best(entries, num, den))), "join-labels")
     mixed = _mixed(entries, label)
+    hot, found, held = mixed.where(F.col("crowd") > CROWD), 0, 0
     for turn in range(STARS):
-        hot = mixed.where(F.col("crowd") > CROWD)
-        more = verified(_drawn(hot, turn, num, den)) if hot.head(1) else hot
-        if not more.head(1):
+        left = hot.select("uid").distinct().count()
+        if left <= (FEW if turn else 0):
             break
-        label = _joined(label, more)
-        if more.count() * 10 < hot.select("uid").distinct().count():  # the crowds are not of near copies
+        held = held or left
+        more = verified(_drawn(hot, turn, num, den))
+        now = more.count()
+        if not now:
             break
+        found += now
+        label = _joined(label, more)
+        grown = written(_labelled(more.select(F.col("a").alias("uid")), label).select("label").distinct(), "join-grown")
+        # a few crowds of near copies among many others are no reason to draw again from all
+        hot = written(_several(hot, label, grown), "join-hot")
+    if found * 10 >= max(held, 1):
         mixed = _mixed(mixed, label)
 
     # what several components still share, whole
-    pairs, hot = written(_pairs(mixed, num, den), "join-pairs"), written(_rarest(mixed), "join-crowds")
-    pairs, crowds = _planned(pairs, hot, mixed.select("uid", "n", "label").distinct())
+    pairs, hot, sizes = _pairs(mixed, num, den), _rarest(mixed), mixed.select("uid", "n", "label").distinct()
+    if 0 < found * 10 < held:  # mixed has the labels from before
+        pairs, hot, sizes = _apart(pairs, label), _several(hot, label), _labelled(sizes, label).select("uid", "n", "label")
+    pairs, hot = written(pairs, "join-pairs"), written(hot, "join-crowds")
+    pairs, crowds = _planned(pairs, hot, sizes)
     more = verified(pairs)
     more = more.unionByName(written(_met(written(crowds, "join-crowds"), members, docs, key, text, n, num, den), "join-links"))
     if more.head(1):

@@ -116,6 +116,35 @@ def test_join_of_edited_copies(spark, monkeypatch):
     assert len({c for _, c in want.values()}) > 20 and max(Counter(c for _, c in want.values()).values()) > 20
 
 
+def test_join_compares_components_as_they_stand(spark, monkeypatch):
+    """Drawn links that join one crowd of many: the rest is compared with that crowd's classes as one component."""
+    rnd = random.Random(3)
+    texts = []
+    for _ in range(12):
+        base = [f"w{rnd.randint(0, 10**9)}" for _ in range(60)]
+        texts += [" ".join([*base, f"e{rnd.randint(0, 10**9)}"]) for _ in range(12)]
+    first = [ngram_join._uid(ngram_join.Hasher(5)(t.encode())).hex().upper() for t in texts[:12]]
+    best, drawn, planned, labels = ngram_join._best, ngram_join._drawn, ngram_join._planned, []
+
+    def draw(hot, turn, num, den):
+        monkeypatch.setattr(ngram_join, "_best", best)
+        return drawn(hot, turn, num, den).where(F.hex("a").isin(first))
+
+    def plan(pairs, hot, sizes):
+        labels.extend(r.label for r in sizes.where(F.hex("uid").isin(first)).collect())
+        per = hot.groupBy("sig").agg(F.countDistinct("label").alias("n")).agg(F.min("n"), F.max("n")).head()
+        assert per[0] > 1 and per[1] == 12
+        return planned(pairs, hot, sizes)
+
+    monkeypatch.setattr(ngram_join, "CROWD", 8)
+    monkeypatch.setattr(ngram_join, "_best", lambda met, num, den: best(met, num, den).limit(0))
+    monkeypatch.setattr(ngram_join, "_drawn", draw)
+    monkeypatch.setattr(ngram_join, "_planned", plan)
+    got = ngram_join.jaccard_join(docs(spark, texts)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(list(enumerate(texts)))
+    assert len(set(labels)) < max(2, len(labels))
+
+
 def test_join_through_rows_without_a_key(spark):
     """Two documents that only one with a null key links, and copies of null keys alone."""
     words = [f"w{i}" for i in range(100)]
