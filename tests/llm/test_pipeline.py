@@ -72,3 +72,16 @@ def test_odd_rows_and_clashing_columns(spark, sf):
     assert sorted(r.doc_id for r in kept) == [1, 5] and all(out[n].columns == docs.columns for n, _ in cp.STAGES[:-1])
     assert [r.text for r in out["pii"].collect() if r.doc_id == 5] == ["call [phone] or the other one"]
     assert run_stages(spark, docs.limit(0), sf)["bpe"].collect() == []
+
+
+def test_readers_and_writers_hold_little(spark):
+    """A task holds a small batch of what it reads, and writes its rows in small groups."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    wide = spark.range(0, 40_000, 1, 1).selectExpr(*[f"sha2(cast(id + {i} as string), 512) as c{i}" for i in range(8)])
+    found = written(wide, "test-groups")
+    assert int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")) <= 512
+    (file,) = glob.glob(found.scratch_path.removeprefix("file:") + "/*.parquet")
+    assert pq.ParquetFile(file).metadata.num_row_groups > 1 and found.count() == 40_000
