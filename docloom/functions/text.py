@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,6 +26,11 @@ CASE_IDS = (
 _SPACE = r"(?U)^\s+|\s+$"
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, however often ``then`` names it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Without white space at the ends, Unicode blanks included."""
     return F.regexp_replace(c, _SPACE, "")
@@ -31,12 +38,22 @@ def strip(c: Column) -> Column:
 
 def tokens(text: Column, config: SearchConfig = SearchConfig(), lemma: Column | None = None) -> Column:
     """Lower-cased words without short ones and stop words; ``lemma``: a map of word to lemma."""
-    stop = F.array(*[F.lit(w) for w in config.stop_words])
+    stop = config.stop_words  # a list of literals becomes one hash lookup a word
     words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(config.token), F.lit(0))
-    kept = F.filter(words, lambda w: (F.length(w) >= config.min_token) & ~F.array_contains(stop, w))
+    kept = F.filter(words, lambda w: (F.length(w) >= config.min_token) & ~w.isin(*stop))
     if lemma is None:
         return kept
-    return F.filter(F.transform(kept, lambda w: F.coalesce(F.try_element_at(lemma, w), w)), lambda w: ~F.array_contains(stop, w))
+    return F.filter(F.transform(kept, lambda w: F.coalesce(F.try_element_at(lemma, w), w)), lambda w: ~w.isin(*stop))
+
+
+def word_counts(words: Column) -> Column:
+    """Array of (term, tf): the distinct words in order, by the runs of the sorted ones."""
+
+    def runs(s: Column) -> Column:
+        at = F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (x != F.get(s, i - 1)), i)), lambda i: i.isNotNull())
+        return let(at, lambda a: F.transform(a, lambda p, j: F.struct(F.get(s, p).alias("term"), (F.coalesce(F.get(a, j + 1), F.size(s)) - p).alias("tf"))))
+
+    return let(F.sort_array(words), runs)
 
 
 def norm_tag(tag: Column) -> Column:

@@ -14,11 +14,14 @@ from ..sources import store
 def lemmas(sections: Column, title: Column, hashtags: Column, config: SearchConfig, lemma: Column | None = None) -> Column:
     """Words of each section. Without position and facts the residual stands for the position, so that it counts twice
     in the full text."""
-    words = {s: text.tokens(sections[s], config, lemma) for s in ("fabula", "lower_courts", "vs_position", "residual")}
-    head, tags = text.tokens(title, config, lemma), text.tokens(F.array_join(hashtags, " "), config, lemma)
-    vs = F.when((F.size(words["vs_position"]) == 0) & (F.size(words["fabula"]) == 0), words["residual"]).otherwise(words["vs_position"])
-    full = F.concat(head, words["fabula"], words["lower_courts"], vs, words["residual"])
-    return F.struct(head.alias("title"), words["fabula"].alias("fabula"), words["lower_courts"].alias("lower_courts"), vs.alias("vs_position"), full.alias("full"), tags.alias("tags"))
+    parts = {"title": title, **{s: sections[s] for s in ("fabula", "lower_courts", "vs_position", "residual")}, "tags": F.array_join(hashtags, " ")}
+
+    def of(w: Column) -> Column:
+        vs = F.when((F.size(w["vs_position"]) == 0) & (F.size(w["fabula"]) == 0), w["residual"]).otherwise(w["vs_position"])
+        full = F.concat(w["title"], w["fabula"], w["lower_courts"], vs, w["residual"])
+        return F.struct(*[w[s].alias(s) for s in ("title", "fabula", "lower_courts")], vs.alias("vs_position"), full.alias("full"), w["tags"].alias("tags"))
+
+    return text.let(F.struct(*[text.tokens(c, config, lemma).alias(s) for s, c in parts.items()]), of)
 
 
 def enrich(raw: DataFrame, config: SearchConfig = SearchConfig(), lemma: Column | None = None) -> DataFrame:
@@ -33,30 +36,59 @@ def enrich(raw: DataFrame, config: SearchConfig = SearchConfig(), lemma: Column
     return d.withColumn("lemmas", lemmas(F.col("sections"), F.col("title"), F.col("hashtags"), config, lemma))
 
 
+def _words(section: str) -> Column:
+    """A section's words; an empty section holds the empty word."""
+    held = F.col(f"lemmas.{section}")
+    return F.when(F.size(held) == 0, F.array(F.lit(""))).otherwise(held)
+
+
 def section_words(docs: DataFrame) -> DataFrame:
-    """section, doc_idx, words; an empty section holds the empty word."""
-    pairs = F.array(*[F.struct(F.lit(s).alias("section"), F.col(f"lemmas.{s}").alias("words")) for s in SECTIONS])
-    each = docs.select("doc_idx", F.explode(pairs).alias("p")).select("p.section", "doc_idx", "p.words")
-    return each.withColumn("words", F.when(F.size("words") == 0, F.array(F.lit(""))).otherwise(F.col("words")))
+    """doc_idx and by section a struct of words and lens. Rows of one id (or of none) are one document to the counts of
+    words, while each of them keeps its length: only such rows are shuffled."""
+    each = docs.select("doc_idx", *[F.struct(_words(s).alias("words"), F.array(F.size(_words(s))).alias("lens")).alias(s) for s in SECTIONS])
+    again = docs.groupBy("doc_idx").agg(F.count("*").alias("c")).where("c > 1").select(F.col("doc_idx").alias("again"))
+    if not again.head(1):
+        return each
+    same = F.col("doc_idx").eqNullSafe(F.col("again"))
+    both = [F.struct(*[F.flatten(F.collect_list(f"{s}.{x}")).alias(x) for x in ("words", "lens")]).alias(s) for s in SECTIONS]
+    return each.join(again, same, "left_anti").unionByName(each.join(again, same, "left_semi").groupBy("doc_idx").agg(*both))
 
 
 def statistics(docs: DataFrame, config: SearchConfig = SearchConfig()) -> dict[str, DataFrame]:
-    """doc_len, section_stats, term_stats and postings. A posting carries its whole contribution to a score
-    (``part``), so that a query is one lookup by word and one sum."""
+    """doc_len, section_stats, term_stats and postings. Words are counted in one pass, whose result, a row for each
+    section and word, is written; no word of a text is shuffled but as a count of its task."""
+    doc_len = docs.select("doc_idx", F.explode(F.array(*[F.struct(F.lit(s).alias("section"), F.size(_words(s)).alias("dl")) for s in SECTIONS])).alias("p")).select("p.section", "doc_idx", "p.dl")
     words = section_words(docs)
-    doc_len = words.select("section", "doc_idx", F.size("words").alias("dl"))
-    counted = words.select("section", "doc_idx", F.explode("words").alias("term")).groupBy("section", "term", "doc_idx").agg(F.count("*").cast("int").alias("tf"))
-    sizes = doc_len.groupBy("section").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    df = counted.groupBy("section", "term").agg(F.count("*").alias("df"))
-    idf0 = df.join(F.broadcast(sizes), "section").withColumn("idf0", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    # beside its distinct words, each text gives a row of the null word, with its length
+    each = words.select(F.explode(F.array(*[F.struct(F.lit(s).alias("section"), F.col(f"{s}.words").alias("words"), F.col(f"{s}.lens").alias("lens")) for s in SECTIONS])).alias("p")).select("p.*")
+    total = F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x)
+    each = each.select("section", F.size("lens").alias("n"), total.alias("dl"), F.explode(F.array_append(F.array_distinct("words"), F.lit(None).cast("string"))).alias("term"))
+    text_row = F.col("term").isNull()
+    counted = each.groupBy("section", "term").agg(F.sum(F.when(text_row, F.col("n")).otherwise(1)).alias("df"), F.sum(F.when(text_row, F.col("dl"))).alias("dl"))
+    counted = store.scratch_table(counted, "counted")
+    sizes = counted.where("term is null").select("section", F.col("df").alias("n"), (F.col("dl") / F.col("df")).alias("avgdl"))
+    idf0 = counted.where("term is not null").join(F.broadcast(sizes), "section").withColumn("idf0", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = idf0.groupBy("section").agg(F.avg("idf0").alias("avg_idf"))
     section_stats = sizes.join(mean, "section").withColumn("eps", F.lit(config.epsilon) * F.col("avg_idf"))
     term_stats = idf0.join(F.broadcast(section_stats.select("section", "eps")), "section").select("section", "term", "df", F.when(F.col("idf0") < 0, F.col("eps")).otherwise(F.col("idf0")).alias("idf"))
+    return {"doc_len": doc_len, "section_stats": section_stats, "term_stats": term_stats, "postings": postings(words, term_stats, section_stats, config)}
+
+
+def postings(words: DataFrame, term_stats: DataFrame, section_stats: DataFrame, config: SearchConfig = SearchConfig(), only: list[str] | None = None) -> DataFrame:
+    """section, term, doc_idx, tf, part. words: of section_words(). A posting carries its whole contribution to a score (``part``), so that a query
+    is one lookup by word and one sum. only: the words that a batch asks for; statistics are of the whole corpus."""
+
+    def counts(s: str) -> Column:
+        held = F.col(f"{s}.words") if only is None else F.filter(f"{s}.words", lambda w: w.isin(*only))
+        return F.transform(text.word_counts(held), lambda x: F.struct(F.lit(s).alias("section"), x["term"].alias("term"), x["tf"].alias("tf"), F.col(f"{s}.lens").alias("lens")))
+
+    counted = words.where("doc_idx is not null").select("doc_idx", F.explode(F.concat(*[counts(s) for s in SECTIONS])).alias("p"))
+    counted = counted.select("doc_idx", "p.section", "p.term", "p.tf", F.explode("p.lens").alias("dl"))
+    terms = term_stats if only is None else F.broadcast(term_stats.where(F.col("term").isin(*only)))
+    long = counted.join(terms, ["section", "term"]).join(F.broadcast(section_stats.select("section", "avgdl")), "section")
     weight = F.create_map(*[x for s in SECTIONS for x in (F.lit(s), F.lit(float(config.weights.get(s, 0.0))))])
-    long = counted.join(doc_len, ["section", "doc_idx"]).join(term_stats, ["section", "term"]).join(F.broadcast(sizes), "section")
     part = F.col("idf") * F.col("tf") * (config.k1 + 1) / (F.col("tf") + config.k1 * (1 - config.b + config.b * F.col("dl") / F.col("avgdl"))) * weight[F.col("section")]
-    postings = long.select("section", "term", "doc_idx", "tf", part.alias("part"))
-    return {"doc_len": doc_len, "section_stats": section_stats, "term_stats": term_stats, "postings": postings}
+    return long.select("section", "term", "doc_idx", "tf", part.alias("part"))
 
 
 def case_groups(docs: DataFrame) -> DataFrame:

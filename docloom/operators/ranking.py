@@ -65,18 +65,21 @@ def proximity(words: Column, asked: Column, config: SearchConfig = SearchConfig(
     pairs = F.filter(F.transform(asked, lambda a, i: F.struct(a.alias("a"), F.get(asked, i + 1).alias("b"))), lambda p: p["b"].isNotNull())
 
     def share(section: Column) -> Column:
-        at = lambda w: F.filter(F.transform(section, lambda x, i: F.when(x == w, i)), lambda i: i.isNotNull())
-        near = F.filter(pairs, lambda p: F.exists(at(p["a"]), lambda x: F.exists(at(p["b"]), lambda y: F.abs(x - y).between(1, config.window))))
-        return F.size(near) / F.size(pairs)
+        held = F.filter(F.transform(section, lambda x, i: F.struct(i.alias("i"), x.alias("w"))), lambda x: F.array_contains(asked, x["w"]))
+        # of words at different places within the window, no more than the window stand between in this list
+        around = lambda h: F.transform(h, lambda x, k: F.struct(x["w"].alias("w"), F.transform(F.filter(F.slice(h, F.greatest(F.lit(1), k + 1 - config.window), F.lit(2 * config.window + 1)), lambda y: F.abs(x["i"] - y["i"]).between(1, config.window)), lambda y: y["w"]).alias("near")))
+        met = text.let(held, lambda h: text.let(around(h), lambda a: F.filter(pairs, lambda p: F.exists(a, lambda x: (x["w"] == p["a"]) & F.array_contains(x["near"], p["b"])))))
+        return F.size(met) / F.size(pairs)
 
     best = F.greatest(share(words["title"]) * config.section_factor, share(words["vs_position"]) * config.section_factor, share(words["fabula"]), share(words["full"]))
     return F.when(F.size(asked) < 2, 0.0).otherwise(F.least(best, F.lit(1.0)))
 
 
-def boosted(scored: DataFrame, docs: DataFrame, asked: DataFrame, config: SearchConfig = SearchConfig()) -> DataFrame:
-    """Scores times freshness, structure and proximity. asked: query_id, words. Queries without words stay."""
+def boosted(scored: DataFrame, docs: DataFrame, asked: DataFrame, config: SearchConfig = SearchConfig(), few: bool = False) -> DataFrame:
+    """Scores times freshness, structure and proximity. asked: query_id, words. Queries without words stay. few: the
+    scored rows are the best of each query only."""
     wide = docs.select("doc_idx", "year", "sections.vs_position", "lemmas")
-    met = scored.join(asked, "query_id").join(wide, "doc_idx")
+    met = (F.broadcast(scored) if few else scored).join(asked, "query_id").join(wide, "doc_idx")
     factor = dates.freshness(F.col("year"), config) * F.when(F.length("vs_position") > 0, config.structured).otherwise(1.0) * (1 + config.proximity * proximity(F.col("lemmas"), F.col("words"), config))
     return met.withColumn("factor", F.when(F.size("words") > 0, factor).otherwise(1.0)).withColumn("score", F.col("score") * F.col("factor")).drop("year", "vs_position", "lemmas", "words")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,10 +45,17 @@ class Query:
 
 
 class SearchEngine:
-    """``docs`` and ``postings`` as the index has them; ``vectors``: doc_id, embedding (unit length), or None."""
+    """``docs`` and ``postings`` as the index has them (postings may be a function that gives them once a query needs
+    them); chosen: a function that gives the documents of a table of ids, where docs are no table that is written;
+    ``vectors``: doc_id, embedding (unit length), or None."""
 
-    def __init__(self, spark: SparkSession, docs: DataFrame, postings: DataFrame, vectors: DataFrame | None = None, config: SearchConfig = SearchConfig(), courts: tuple[str, ...] = filters.COURTS, lemma: Column | None = None):
-        self.spark, self.docs, self.postings, self.vectors, self.config, self.courts, self.lemma = spark, docs, postings, vectors, config, courts, lemma
+    def __init__(self, spark: SparkSession, docs: DataFrame, postings: DataFrame | Callable[[], DataFrame], vectors: DataFrame | None = None, config: SearchConfig = SearchConfig(), courts: tuple[str, ...] = filters.COURTS, lemma: Column | None = None, chosen: Callable[[DataFrame], DataFrame] | None = None):
+        self._chosen = chosen
+        self.spark, self.docs, self._postings, self.vectors, self.config, self.courts, self.lemma = spark, docs, postings, vectors, config, courts, lemma
+
+    @property
+    def postings(self) -> DataFrame:
+        return self._postings() if callable(self._postings) else self._postings
 
     @classmethod
     def load(cls, spark: SparkSession, root: str, vectors: DataFrame | None = None, config: SearchConfig = SearchConfig()) -> SearchEngine:
@@ -72,6 +79,12 @@ class SearchEngine:
         rows = [tuple(list(map(float, v)) if n == "vector" and v is not None else v for n, v in ((n, asdict(q)[n]) for n in names)) for q in batch]
         return self.spark.createDataFrame(rows, schema.QUERIES)
 
+    def chosen(self, scored: DataFrame, few: bool) -> DataFrame:
+        """The documents that are scored, chosen before words are made or wide columns dealt out. few: at most so many as
+        the layers give each query; they are broadcast."""
+        ids = F.broadcast(scored.select("doc_idx")) if few else scored.select("doc_idx")
+        return self._chosen(ids) if self._chosen else self.docs.join(ids, "doc_idx", "left_semi")
+
     def _known(self) -> DataFrame:
         """The vectors that have a document: others take no rank."""
         return self.vectors.join(self.docs.select(F.col("doc_idx").alias("doc_id")), "doc_id", "left_semi")
@@ -80,20 +93,25 @@ class SearchEngine:
         """Scored rows whose document passes its query's filters. Wide text is met only if a query asks for it."""
         if not any(q.filtered for q in batch):
             return scored
-        names = ["doc_idx", "court", "hashtags", "year"] + ["text"] * any(q.article for q in batch)
-        met = scored.join(F.broadcast(queries.select("query_id", F.col("court").alias("q_court"), F.col("tag").alias("q_tag"), F.col("article").alias("q_article"), "year_from", "year_to")), "query_id").join(self.docs.select(*names), "doc_idx")
-        return met.where(self._passes(any(q.article for q in batch))).select(*scored.columns)
+        met = scored.join(F.broadcast(queries.select("query_id", F.col("court").alias("q_court"), F.col("tag").alias("q_tag"), F.col("article").alias("q_article"), "year_from", "year_to")), "query_id").join(self._narrow(batch), "doc_idx")
+        return met.where(self._passes()).select(*scored.columns)
 
-    def _passes(self, article: bool) -> Column:
+    def _narrow(self, batch: list[Query]) -> DataFrame:
+        """What filters look at; of the text, only which of the batch's articles it has, so that no text is dealt out."""
+        asked = sorted({q.article for q in batch if q.article})
+        held = F.array_compact(F.array(*[F.when(filters.article(F.lit(a), F.col("text")), F.lit(a)) for a in asked])) if asked else F.array().cast("array<string>")
+        return self.docs.select("doc_idx", "court", "hashtags", "year", held.alias("articles_met"))
+
+    def _passes(self) -> Column:
         ok = filters.court(F.col("q_court"), F.col("court"), self.courts) & filters.tag(F.col("q_tag"), F.col("hashtags")) & filters.years(F.col("year_from"), F.col("year_to"), F.col("year"))
-        return ok & filters.article(F.col("q_article"), F.col("text")) if article else ok
+        return ok & ((F.coalesce("q_article", F.lit("")) == "") | F.array_contains("articles_met", F.col("q_article")))
 
     def _listing(self, queries: DataFrame, asked: DataFrame, batch: list[Query]) -> DataFrame:
         """Filters without words: the eligible documents in corpus order, with score 0."""
         filtered = [q.query_id for q in batch if q.filtered]
         q = queries.join(asked, "query_id").where((F.size("words") == 0) & F.col("query_id").isin(filtered) & (F.length(F.coalesce("query", F.lit(""))) == 0))
         q = q.select("query_id", F.col("court").alias("q_court"), F.col("tag").alias("q_tag"), F.col("article").alias("q_article"), "year_from", "year_to")
-        met = self.docs.select("doc_idx", "court", "hashtags", "year", "text").join(F.broadcast(q), self._passes(True))
+        met = self._narrow(batch).join(F.broadcast(q), self._passes())
         return met.select("query_id", "doc_idx", F.lit(0.0).alias("score"), F.col("doc_idx").cast("double").alias("ord"), F.lit(1.0).alias("factor"))
 
     def ranked(self, batch: list[Query], mode: str = "hybrid") -> DataFrame:
@@ -102,16 +120,18 @@ class SearchEngine:
         queries, c = self.frame(batch), self.config
         asked = queries.select("query_id", text.tokens(F.col("query"), c, self.lemma).alias("words"))
         lex = sem = None
-        if mode != "semantic":
+        if not any(q.query for q in batch):
+            lex = sem = queries.select("query_id", F.lit(0).cast("long").alias("doc_idx"), F.lit(0.0).alias("score")).limit(0)
+        elif mode != "semantic":
             lex = self._eligible(ranking.lexical(ranking.query_terms(queries, c, self.lemma), self.postings), queries, batch)
-        if mode != "bm25":
+        if mode != "bm25" and sem is None:
             sem = self._eligible(ranking.semantic(queries, self._known()), queries, batch)
         if mode == "hybrid":
             scored = ranking.fuse([ranking.top(lex, c.top), ranking.top(sem, c.top)], list(c.layer_weights), c.rrf_k)
         else:
             one = lex if mode == "bm25" else sem.withColumn("score", F.col("score") * 100)
             scored = one.withColumn("ord", F.col("doc_idx").cast("double"))
-        scored = ranking.boosted(scored, self.docs, F.broadcast(asked), c)
+        scored = ranking.boosted(scored, self.chosen(scored, mode == "hybrid"), F.broadcast(asked), c, mode == "hybrid")
         if any(q.filtered and not q.query for q in batch):
             scored = scored.unionByName(self._listing(queries, asked, batch))
         order = W.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "ord")
@@ -142,14 +162,15 @@ class SearchEngine:
         else:
             parts = parts.withColumns({"sem_rank": none.cast("int"), "sem_sim": none.cast("double")})
         asked = queries.select("query_id", text.tokens(F.col("query"), c, self.lemma).alias("words"))
-        wide = self.docs.select("doc_idx", "year", (F.length("sections.vs_position") > 0).alias("structured_vs"), "lemmas")
+        few = mode == "hybrid" and not any(q.filtered and not q.query for q in batch)
+        wide = self.chosen(parts, few).select("doc_idx", "year", (F.length("sections.vs_position") > 0).alias("structured_vs"), "lemmas")
         met = parts.join(F.broadcast(asked), "query_id").join(wide, "doc_idx")
         near = 1 + c.proximity * ranking.proximity(F.col("lemmas"), F.col("words"), c)
         return met.select("query_id", "pos", "doc_idx", "bm25_rank", "bm25_score", "sem_rank", "sem_sim", "structured_vs", near.alias("proximity_x"), dates.freshness(F.col("year"), c).alias("freshness_x"), "factor", F.col("score").alias("final"))
 
     def _hits(self, leaders: DataFrame) -> DataFrame:
         d = self.docs.select("doc_idx", "id", "title", "court", "date", text.strip(F.regexp_replace("case_number", "\n", " ")).alias("case_number"), text.snippet(F.col("sections.vs_position"), F.col("sections.residual"), F.col("title"), self.config.snippet).alias("snippet"), F.col("hashtags").alias("tags"), "case_id")
-        met = leaders.join(d, "doc_idx")
+        met = F.broadcast(leaders).join(d, "doc_idx")  # at most a limit's for each query
         return met.select("query_id", "rank", "id", "title", "court", "date", "case_number", F.round("score", 4).alias("score"), "snippet", "tags", "case_id", "alternative_channels")
 
     def find_similar(self, case: int, limit: int = 10) -> DataFrame:
