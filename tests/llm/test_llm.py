@@ -527,3 +527,35 @@ def test_wu_manber_slices(spark, sf, monkeypatch):
     whole = sorted(decontamination.op9_decontamination(spark, sf).collect())
     monkeypatch.setattr(decontamination, "SLICE_BYTES", 2000)
     assert sorted(decontamination.op9_decontamination(spark, sf).collect()) == whole
+
+
+def test_ann_starts_from_near_blocks(spark, monkeypatch):
+    """The graph that the rounds start from has most true neighbours already, and its blocks hold near copies of one vector
+    in bounded numbers."""
+    rnd = np.random.default_rng(3)
+    x = rnd.standard_normal((6000, 64))
+    x[:2500] = x[0] + 1e-3 * rnd.standard_normal((2500, 64))
+    x = x.astype(np.float32)
+    monkeypatch.setattr(ann, "BLOCK", 512)
+    kept, merged = [], ann._merged
+    monkeypatch.setattr(ann, "_merged", lambda offers, k, n: kept.append(merged(offers, k, n)) or kept[-1])
+    nodes, members = ann.nodes_of(spark.createDataFrame(list(enumerate(x.tolist())), "id long, v array<float>"), "id", "v", 1)
+    ann.neighbour_graph(nodes, changed=1.0)  # no round
+    own = {r.node: r.id for r in members.collect()}
+    y = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    got = {own[r.node]: {own[i] for i in r.ids} for r in kept[0].collect()}
+    hits = []
+    for q in range(2500, 6000, 50):
+        s = y @ y[q]
+        s[q] = -2
+        hits.append(len(set(np.argsort(-s)[:5].tolist()) & got[q]))
+    assert len(kept) == 1 and sum(hits) / (5 * len(hits)) >= 0.6
+
+
+def test_ann_walk_does_not_deal_out_vectors(spark, sf, monkeypatch):
+    """A step of the walk joins pairs of ids with nodes and broadcast queries."""
+    plans, written = [], ann.written
+    monkeypatch.setattr(ann, "written", lambda df, name: plans.append((name, df._jdf.queryExecution().optimizedPlan().toString())) or written(df, name))
+    ann.op6_nearest_neighbours(spark, sf)
+    beams = [p for name, p in plans if name == "ann-beam"]
+    assert beams and all("rightHint=(strategy=broadcast)" in p and "zip_with" not in p for p in beams)
